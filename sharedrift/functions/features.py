@@ -3,7 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-YEAR_COUNTS = "map<int,bigint>"
 
 
 def wkt_point(lng: Column, lat: Column) -> Column:
@@ -27,7 +26,15 @@ def sorted_map(key: str, value: str) -> Column:
     Only for keys bounded by design and unique per group (years; cells of one tile): the input is always already
     reduced to one row per key, so the collected list is small however many observations stand behind it.
     """
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col(value)))))
+    return F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), F.col(value)))))
+
+
+def sorted_map_of_maps(key: str, value: str) -> Column:
+    """As ``sorted_map`` for values without an order of their own."""
+    def by_key(a: Column, b: Column) -> Column:
+        return F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col(value))), by_key))
 
 
 def map_to_json(counts: Column) -> Column:
@@ -36,7 +43,8 @@ def map_to_json(counts: Column) -> Column:
 
 def json_to_year_counts(text: Column) -> Column:
     """Decode a JSON year map; malformed text is an error."""
-    return F.from_json(text, YEAR_COUNTS, {"mode": "FAILFAST"})
+    decoded = F.from_json(text, "map<string,bigint>", {"mode": "FAILFAST"})
+    return F.transform_keys(decoded, lambda year, _: year.cast("int"))
 
 
 def years_between(counts: Column, min_year: int, max_year: int) -> Column:
@@ -47,5 +55,5 @@ def years_between(counts: Column, min_year: int, max_year: int) -> Column:
 def joined_entries(*parts: str, between: str = ",") -> Column:
     """Aggregate: the parts of each row joined by ``between``, rows in order of the first part, joined by commas."""
     entry = F.concat_ws(between, *[F.col(p).cast("string") for p in parts])
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(parts[0]).alias("at"), entry.alias("text"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(parts[0]).alias("at"), entry.alias("text"))))
     return F.array_join(F.transform(ordered, lambda e: e["text"]), ",")

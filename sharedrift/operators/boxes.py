@@ -87,7 +87,7 @@ def box_trends(counts: DataFrame, requests: DataFrame, min_fit_years: int = S.MI
     # years without a hit inside the box are not collected: collect_list skips the NULL struct
     hit = F.when(F.col("n").isNotNull(), F.struct("year", "n"))
     seen = species_years.groupBy(*request).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(hit))).alias("species_seen"))
+        F.map_from_entries(F.sort_array(F.collect_list(hit))).alias("species_seen"))
     group = group_years_in_boxes(seen.drop("species_seen"), group_point_year(counts))
     group_maps = group.groupBy("request_id").agg(*_year_sums(), sorted_map("year", "n").alias("group_counts"))
     none = F.lit(0).cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sharedrift import settings as S
 from sharedrift.functions import mercator
-from sharedrift.functions.features import sorted_map
+from sharedrift.functions.features import sorted_map, sorted_map_of_maps
 
 TILE = ("specieskey", "z", "x", "y")
 
@@ -79,7 +79,7 @@ def tile_documents(pyramid: DataFrame, count: str = "n_points") -> DataFrame:
     """
     tile = [*TILE, *(["is_group"] if "is_group" in pyramid.columns else [])]
     per_year = pyramid.groupBy(*tile, "year").agg(sorted_map("cellid", count).alias("cells"))
-    return per_year.groupBy(*tile).agg(F.to_json(sorted_map("year", "cells")).alias("json"))
+    return per_year.groupBy(*tile).agg(F.to_json(sorted_map_of_maps("year", "cells")).alias("json"))
 
 
 def point_tile_features(trends: DataFrame, zooms: Sequence[int]) -> DataFrame:
