@@ -2,57 +2,66 @@
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def t_two_sided(t: Column, nu: Column) -> Column:
-    """P(|T| > t) for Student's t with integer ``nu`` >= 1: the finite cosine series (Abramowitz & Stegun 26.7.3-4)."""
-    odd = nu % 2
-    share = nu / (nu + t * t)                       # cos^2(theta)
-    cosine, sine = F.sqrt(share), t / F.sqrt(nu + t * t)
-    terms = F.floor((nu - odd) / 2).cast("int")
-    start = F.struct(F.lit(0.0).alias("total"), F.when(odd == 1, cosine).otherwise(F.lit(1.0)).alias("term"))
+def with_t_two_sided(df: DataFrame, out: str, t: Column, nu: Column) -> DataFrame:
+    """Add P(|T| > t) for Student's t with integer ``nu`` >= 1; NULL where ``t`` is.
+
+    The finite cosine series of Abramowitz & Stegun 26.7.3-4.  Built in steps, so the loop over terms touches plain
+    columns only.
+    """
+    staged = df.withColumns({"_t": t, "_nu": nu, "_odd": nu % 2}).withColumns({
+        "_cos2": F.col("_nu") / (F.col("_nu") + F.col("_t") * F.col("_t")),
+        "_sine": F.col("_t") / F.sqrt(F.col("_nu") + F.col("_t") * F.col("_t")),
+        "_terms": F.shiftright(F.col("_nu") - F.col("_odd"), 1).cast("int"),
+    })
+    first = F.when(F.col("_odd") == 1, F.sqrt("_cos2")).otherwise(F.lit(1.0))
     series = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(terms, F.lit(1))),
-        start,
+        F.sequence(F.lit(1), F.col("_terms")),
+        F.struct(F.lit(0.0).alias("total"), first.alias("term")),
         lambda acc, j: F.struct(
             (acc["total"] + acc["term"]).alias("total"),
-            (acc["term"] * share * (2 * j - 1 + odd) / (2 * j + odd)).alias("term"),
+            (acc["term"] * F.col("_cos2") * (2 * j - 1 + F.col("_odd")) / (2 * j + F.col("_odd"))).alias("term"),
         ),
         lambda acc: acc["total"],
     )
-    series = F.when(terms >= 1, series).otherwise(F.lit(0.0))
-    inside = F.when(odd == 1, (F.atan(t / F.sqrt(nu)) + sine * series) * (2 / math.pi)).otherwise(sine * series)
-    return F.greatest(F.lit(1.0) - inside, F.lit(0.0))
+    summed = staged.withColumn(
+        "_series", F.when(F.col("_t").isNotNull() & (F.col("_terms") >= 1), series).otherwise(F.lit(0.0)))
+    inside = F.when(
+        F.col("_odd") == 1,
+        (F.atan(F.col("_t") / F.sqrt("_nu")) + F.col("_sine") * F.col("_series")) * (2 / math.pi),
+    ).otherwise(F.col("_sine") * F.col("_series"))
+    tail = F.when(F.col("_t").isNotNull(), F.greatest(F.lit(1.0) - inside, F.lit(0.0)))
+    return summed.withColumn(out, tail).drop("_t", "_nu", "_odd", "_cos2", "_sine", "_terms", "_series")
 
 
-def fit_from_moments(
-    n: Column, x_mean: Column, y_mean: Column, sxx: Column, syy: Column, sxy: Column, min_n: int
-) -> dict[str, Column]:
-    """All statistics of a line fit from centred moments; NULL where the fit does not exist.
+def with_fit(df: DataFrame, min_n: int) -> DataFrame:
+    """All statistics of a line fit from the columns ``_n, _x_mean, _y_mean, _sxx, _syy, _sxy`` (centred moments).
 
-    Slope and intercept need ``min_n`` points and two distinct x; the error statistics need three points; a perfect
-    fit has significance 0, and a constant series (slope 0, error 0) has none.
+    NULL where a fit does not exist.  Slope and intercept need ``min_n`` points and two distinct x; the error
+    statistics need three points; a perfect fit has significance 0, and a constant series (slope 0, error 0) none.
     """
+    n, x_mean, sxx, sxy = F.col("_n"), F.col("_x_mean"), F.col("_sxx"), F.col("_sxy")
+    slope, mse, error = F.col("slope"), F.col("mse"), F.col("slope_stderr")
     fits = (n >= min_n) & (n >= 2) & (sxx > 0)
-    slope = F.when(fits, sxy / sxx)
-    sse = F.when(fits, F.greatest(F.lit(0.0), syy - sxy * sxy / sxx))
-    mse = F.when(fits & (n >= 3), sse / (n - 2))
-    slope_stderr = F.sqrt(mse / sxx)
-    significance = (
-        F.when(slope_stderr > 0, t_two_sided(F.abs(slope) / slope_stderr, n - 2))
-        .when((slope_stderr == 0) & (slope != 0), F.lit(0.0))
+    staged = (
+        df
+        .withColumn("slope", F.when(fits, sxy / sxx))
+        .withColumns({
+            "intercept": F.col("_y_mean") - slope * x_mean,
+            "sse": F.when(slope.isNotNull(), F.greatest(F.lit(0.0), F.col("_syy") - slope * sxy)),
+        })
+        .withColumn("mse", F.when(n >= 3, F.col("sse") / (n - 2)))
+        .withColumns({
+            "slope_stderr": F.sqrt(mse / sxx),
+            "intercept_stderr": F.sqrt(mse * (F.lit(1.0) / n + x_mean * x_mean / sxx)),
+        })
     )
-    return {
-        "slope": slope,
-        "intercept": F.when(fits, y_mean - sxy / sxx * x_mean),
-        "significance": significance,
-        "sse": sse,
-        "intercept_stderr": F.sqrt(mse * (F.lit(1.0) / n + x_mean * x_mean / sxx)),
-        "mse": mse,
-        "slope_stderr": slope_stderr,
-    }
+    tested = with_t_two_sided(staged, "significance", F.when(error > 0, F.abs(slope) / error), n - 2)
+    return tested.withColumn(
+        "significance", F.when((error == 0) & (slope != 0), F.lit(0.0)).otherwise(F.col("significance")))
 
 
 def line_fit(y: str, x: str) -> list[Column]:

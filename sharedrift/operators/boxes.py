@@ -1,6 +1,6 @@
 """Trends in user-drawn boxes: a whole table of requests answered in one job.
 
-A request names a species, two opposite corners (in any order) and a span of years.  All sides are inclusive.
+A request names a species and its group, two opposite corners (in any order) and a span of years.  All sides are inclusive.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from sharedrift import settings as S
 from sharedrift.functions.features import sorted_map
 from sharedrift.operators.counts import group_point_year
 from sharedrift.operators.filters import in_box
-from sharedrift.operators.trends import fit_shares, _year_sums
+from sharedrift.operators.trends import fit_shares, year_sums
 
 CELL_E2 = 500  # side of a cover cell in hundredths of a degree
 
@@ -36,51 +36,56 @@ def _cover(low: Column, high: Column, limit: float) -> Column:
     return F.when(first <= last, F.sequence(first, last))
 
 
+def _cell(cell_lat: Column, cell_lng: Column) -> Column:
+    """One integer per cover cell; -1, which no box covers, for a missing place."""
+    return F.coalesce((cell_lat + 1000) * 10000 + cell_lng + 1000, F.lit(-1))
+
+
 def group_years_in_boxes(boxes: DataFrame, group: DataFrame) -> DataFrame:
     """Group observations per request and year, for boxes of any size and number.
 
     Boxes are covered by grid cells and meet the data by an equi-join on the cell.  A cell wholly inside its box
-    joins counts already summed per cell and year; only cells on the box's edge join single places and test them.
+    takes counts already summed per cell and year; only cells on the box's edge take single places and test them.
     """
-    cells = (
-        boxes
-        .withColumn("cell_lat", F.explode(_cover(F.col("min_lat"), F.col("max_lat"), S.MAX_PLOT_LATITUDE)))
-        .withColumn("cell_lng", F.explode(_cover(F.col("min_lng"), F.col("max_lng"), S.MAX_PLOT_LONGITUDE)))
-    )
+    lat, lng = F.col("_cell_lat"), F.col("_cell_lng")
 
-    def contained(cell: str, low: str, high: str) -> Column:
-        start = F.col(cell) * CELL_E2
+    def contained(cell: Column, low: str, high: str) -> Column:
+        start = cell * CELL_E2
         return (start / F.lit(100.0) >= F.col(low)) & ((start + CELL_E2 - 1) / F.lit(100.0) <= F.col(high))
 
-    cells = cells.withColumn(
-        "_whole", contained("cell_lat", "min_lat", "max_lat") & contained("cell_lng", "min_lng", "max_lng"))
-    celled = group.withColumns({
-        "cell_lat": F.floor(F.col("lat_e2") / CELL_E2).cast("int"),
-        "cell_lng": F.floor(F.col("lng_e2") / CELL_E2).cast("int"),
-    })
-    keys = ["orderkey", "cell_lat", "cell_lng"]
-    asked = F.col("year").between(F.col("min_year"), F.col("max_year"))
-    whole = (
-        celled.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
-        .join(cells.where("_whole"), keys).where(asked).select("request_id", "year", "n")
+    covers = (
+        boxes
+        .withColumn("_cell_lat", F.explode(_cover(F.col("min_lat"), F.col("max_lat"), S.MAX_PLOT_LATITUDE)))
+        .withColumn("_cell_lng", F.explode(_cover(F.col("min_lng"), F.col("max_lng"), S.MAX_PLOT_LONGITUDE)))
+        .withColumns({
+            "cell": _cell(lat, lng),
+            "whole": contained(lat, "min_lat", "max_lat") & contained(lng, "min_lng", "max_lng"),
+        })
+        .select("request_id", "orderkey", "cell", "whole", "min_lat", "max_lat", "min_lng", "max_lng", "min_year",
+                "max_year")
     )
-    edge = (
-        celled.join(cells.where(~F.col("_whole")), keys)
-        .where(asked & _inside_request()).select("request_id", "year", "n")
+    places = group.withColumn("cell", _cell(
+        F.floor(F.col("lat_e2") / CELL_E2).cast("int"), F.floor(F.col("lng_e2") / CELL_E2).cast("int")))
+    cells = places.groupBy("orderkey", "cell", "year").agg(F.sum("n").alias("n"))
+    either = places.withColumn("whole", F.lit(False)).unionByName(
+        cells.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    return (
+        either.join(covers, ["orderkey", "cell", "whole"])
+        .where(F.col("year").between(F.col("min_year"), F.col("max_year")) & (F.col("whole") | _inside_request()))
+        .groupBy("request_id", "year").agg(F.sum("n").alias("n"))
     )
-    return whole.unionByName(edge).groupBy("request_id", "year").agg(F.sum("n").alias("n"))
 
 
 def box_trends(counts: DataFrame, requests: DataFrame, min_fit_years: int = S.MIN_FIT_YEARS_BOX) -> DataFrame:
     """One trend per request whose species has any data in the years asked for, even if none lies in the box.
 
     ``counts``: one row per (orderkey, specieskey, lat_e2, lng_e2, year); ``requests`` as ``schemas.BOX_REQUEST``.
+    The one count table feeds the species and the group side, from one scan and shuffle.
     """
     boxes = with_corners_ordered(requests)
-    request = ["request_id", "orderkey", "specieskey", "min_lat", "max_lat", "min_lng", "max_lng",
-               "min_year", "max_year"]
+    request = ["request_id", "orderkey", "specieskey", "min_year", "max_year"]
     species_years = (
-        counts.join(boxes, "specieskey")
+        counts.join(boxes, ["orderkey", "specieskey"])
         .where(F.col("year").between(F.col("min_year"), F.col("max_year")))
         .groupBy(*request, "year").agg(F.sum(F.when(_inside_request(), F.col("n"))).alias("n"))
     )
@@ -88,8 +93,8 @@ def box_trends(counts: DataFrame, requests: DataFrame, min_fit_years: int = S.MI
     hit = F.when(F.col("n").isNotNull(), F.struct("year", "n"))
     seen = species_years.groupBy(*request).agg(
         F.map_from_entries(F.sort_array(F.collect_list(hit))).alias("species_seen"))
-    group = group_years_in_boxes(seen.drop("species_seen"), group_point_year(counts))
-    group_maps = group.groupBy("request_id").agg(*_year_sums(), sorted_map("year", "n").alias("group_counts"))
+    group = group_years_in_boxes(boxes, group_point_year(counts))
+    group_maps = group.groupBy("request_id").agg(*year_sums(), sorted_map("year", "n").alias("group_counts"))
     none = F.lit(0).cast("long")
     joined = seen.join(group_maps, "request_id", "left").withColumns({
         "group_years": F.coalesce("group_years", none),

@@ -15,9 +15,14 @@ def join_to_place(
     species dimension, so the small side) are copied once per salt.  The salt is part of the join key, so both sides
     are shuffled for this join alone and adaptive execution may still split a skewed partition, or turn the join
     into a broadcast once it has measured the place side; no broadcast is forced here.
+
+    ``spread`` is a power of two: a bit mask is never NULL, so the join infers no extra filter on the species side,
+    and a table feeding both sides keeps one shared scan and shuffle.
     """
+    if spread & (spread - 1):
+        raise ValueError("spread must be a power of two")
     if spread > 1:
-        many = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int"))
-        one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        many = many.withColumn("_salt", F.xxhash64(spread_by).bitwiseAND(F.lit(spread - 1).cast("long")))
+        one = one.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(spread)])))
         keys = [*keys, "_salt"]
     return many.join(one, keys).drop("_salt")

@@ -32,14 +32,14 @@ def species_year_maps(counts: DataFrame, place: tuple[str, ...], min_years: int
     return maps.where(F.size("species_seen") >= min_years) if min_years > 1 else maps
 
 
-def _year_sums() -> list[Column]:
+def year_sums() -> list[Column]:
     x = (F.col("year") - S.YEAR_ORIGIN).cast("long")
     return [F.count("*").alias("group_years"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx")]
 
 
 def group_year_maps(totals: DataFrame, keys: list[str]) -> DataFrame:
     """Year -> count of the group per place, with the sums of its years.  ``totals``: one row per (keys, year)."""
-    return totals.groupBy(*keys).agg(*_year_sums(), sorted_map("year", "n").alias("group_counts"))
+    return totals.groupBy(*keys).agg(*year_sums(), sorted_map("year", "n").alias("group_counts"))
 
 
 def fit_shares(joined: DataFrame, min_fit_years: int, fill_unfitted: bool = True) -> DataFrame:
@@ -47,7 +47,7 @@ def fit_shares(joined: DataFrame, min_fit_years: int, fill_unfitted: bool = True
 
     ``species_counts`` carries the inferred zeros (where no fit is made, only if ``fill_unfitted``).
     """
-    n = F.nullif("group_years", F.lit(0))  # a place without group data has no mean
+    n, zero = F.col("_n"), F.lit(0.0)
     shares = F.transform(
         F.map_entries("species_seen"),
         lambda e: F.struct(
@@ -55,38 +55,37 @@ def fit_shares(joined: DataFrame, min_fit_years: int, fill_unfitted: bool = True
             (e["value"].cast("double") / F.col("group_counts")[e["key"]]).alias("y"),
         ),
     )
-    zero = F.lit(0.0)
     staged = (
         joined
-        .withColumns({"species_years": F.size("species_seen"), "_shares": shares})
+        # a place without group data has no mean
+        .withColumns({"_n": F.nullif("group_years", F.lit(0)), "species_years": F.size("species_seen")})
+        .withColumn("_shares", shares)
         .withColumns({
-            "_x_mean": F.col("_sx") / n,
-            "_y_mean": F.aggregate("_shares", zero, lambda acc, p: acc + p["y"]) / n,
-            "_flat": (F.col("species_years") == n) & (
-                F.array_max(F.transform("_shares", lambda p: p["y"]))
-                == F.array_min(F.transform("_shares", lambda p: p["y"]))
-            ),
+            "_ys": F.transform("_shares", lambda p: p["y"]),
+            "_x_shift": F.col("_sx") / n,
         })
         .withColumns({
-            "_sxx_c": F.col("_sxx") - F.col("_sx") * F.col("_x_mean"),
-            "_sxy_c": F.when(F.col("_flat"), zero).otherwise(
-                F.aggregate("_shares", zero, lambda acc, p: acc + (p["x"] - F.col("_x_mean")) * p["y"])),
-            "_syy_c": F.when(F.col("_flat"), zero).otherwise(
+            "_y_mean": F.aggregate("_ys", zero, lambda acc, y: acc + y) / n,
+            "_flat": (F.col("species_years") == n) & (F.array_max("_ys") == F.array_min("_ys")),
+        })
+        .withColumns({
+            "_sxy": F.when(F.col("_flat"), zero).otherwise(
+                F.aggregate("_shares", zero, lambda acc, p: acc + (p["x"] - F.col("_x_shift")) * p["y"])),
+            "_syy": F.when(F.col("_flat"), zero).otherwise(
                 F.aggregate(
-                    "_shares", (n - F.col("species_years")) * F.col("_y_mean") * F.col("_y_mean"),
-                    lambda acc, p: acc + (p["y"] - F.col("_y_mean")) * (p["y"] - F.col("_y_mean")))),
+                    "_ys", (n - F.col("species_years")) * F.col("_y_mean") * F.col("_y_mean"),
+                    lambda acc, y: acc + (y - F.col("_y_mean")) * (y - F.col("_y_mean")))),
+            "_sxx": F.col("_sxx") - F.col("_sx") * F.col("_x_shift"),
+            "_x_mean": F.col("_x_shift") + S.YEAR_ORIGIN,
         })
     )
-    fit = statistics.fit_from_moments(
-        n, F.col("_x_mean") + S.YEAR_ORIGIN, F.col("_y_mean"),
-        F.col("_sxx_c"), F.col("_syy_c"), F.col("_sxy_c"), min_fit_years,
-    )
     filled = F.transform_values(
         "group_counts", lambda year, _: F.coalesce(F.col("species_seen")[year], F.lit(0).cast("long")))
     if not fill_unfitted:
-        filled = F.when(n >= min_fit_years, filled).otherwise(F.col("species_seen"))
-    return staged.withColumns({**fit, "species_counts": filled}).drop(
-        "species_seen", "_shares", "_sx", "_sxx", "_x_mean", "_y_mean", "_flat", "_sxx_c", "_sxy_c", "_syy_c"
+        filled = F.when(F.col("group_years") >= min_fit_years, filled).otherwise(F.col("species_seen"))
+    return statistics.with_fit(staged, min_fit_years).withColumn("species_counts", filled).drop(
+        "species_seen", "_n", "_shares", "_ys", "_sx", "_sxx", "_x_shift", "_x_mean", "_y_mean", "_flat", "_sxy",
+        "_syy",
     )
 
 

@@ -47,8 +47,11 @@ def box_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     start_lat, start_lng = (key * 37 % 130 - 80).cast("double"), (key * 53 % 300 - 175).cast("double")
     height, width = (key % 5 * 10 + 15).cast("double"), (key % 7 * 10 + 20).cast("double")
     flip = key % 2 == 1
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+    suppliers = occurrence.star_table(spark, sf_dir, "supplier").join(
+        occurrence.star_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return suppliers.select(
         key.alias("request_id"),
+        F.col("n_regionkey").cast("int").alias("orderkey"),
         key.cast("int").alias("specieskey"),
         F.when(flip, start_lat + height).otherwise(start_lat).alias("lat_a"),
         start_lng.alias("lng_a"),
@@ -270,6 +273,7 @@ def bbox_trend(spark, sf_dir):
 
 
 def trend_by_name(spark, sf_dir):
+    # two scans on purpose: the name pattern is pushed into the first, the second needs every species of the group
     base = clean(spark, sf_dir)
     found = names.trends_by_name(
         names.species_names(base), ALL_NAMES, trends.species_trends(counts.species_years(base)))

@@ -38,6 +38,16 @@ WIDE_RECORD_TEXT = _struct(specieskey=_INT, geom=_TEXT, year=_INT, speciescount=
 TILE_JSON = _struct(specieskey=_INT, z=_INT, x=_LONG, y=_LONG, json=_TEXT)
 
 BOX_REQUEST = _struct(
-    request_id=_LONG, specieskey=_INT, lat_a=_DOUBLE, lng_a=_DOUBLE, lat_b=_DOUBLE, lng_b=_DOUBLE,
+    request_id=_LONG, orderkey=_INT, specieskey=_INT, lat_a=_DOUBLE, lng_a=_DOUBLE, lat_b=_DOUBLE, lng_b=_DOUBLE,
     min_year=_INT, max_year=_INT,
 )
+
+# the star-schema test tables an occurrence table can be derived from (columns used)
+STAR = {
+    "lineitem": _struct(
+        l_orderkey=_LONG, l_partkey=_LONG, l_suppkey=_LONG, l_linenumber=_INT, l_returnflag=_TEXT,
+        l_shipdate=T.TimestampNTZType()),
+    "orders": _struct(o_orderkey=_LONG, o_custkey=_LONG, o_orderstatus=_TEXT, o_orderpriority=_TEXT),
+    "supplier": _struct(s_suppkey=_LONG, s_name=_TEXT, s_nationkey=_INT),
+    "nation": _struct(n_nationkey=_INT, n_name=_TEXT, n_regionkey=_INT),
+}

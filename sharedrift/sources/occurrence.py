@@ -13,19 +13,21 @@ def read_occurrences(spark: SparkSession, name_or_path: str, fmt: str | None = N
     return spark.read.format(fmt).schema(schemas.OCCURRENCE).load(name_or_path)
 
 
+def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(schemas.STAR[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def occurrences_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations derived from lineitem, orders, supplier and nation.
 
     Supplier, nation and region stand for species, family and order, so a group strictly contains its species;
     customers give shared locations and parts a small jitter that rounding to 0.01 degree removes.
     """
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    species = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    species = star_table(spark, sf_dir, "supplier").join(
+        star_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = (
-        table("lineitem")
-        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        star_table(spark, sf_dir, "lineitem")
+        .join(star_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(species, F.col("l_suppkey") == F.col("s_suppkey"))
     )
 
