@@ -1,5 +1,8 @@
 """Joins of many rows per place with one row per place."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +19,14 @@ def join_to_place(
     are shuffled for this join alone and adaptive execution may still split a skewed partition, or turn the join
     into a broadcast once it has measured the place side; no broadcast is forced here.
 
-    ``spread`` is a power of two: a bit mask is never NULL, so the join infers no extra filter on the species side,
-    and a table feeding both sides keeps one shared scan and shuffle.
+    Keys are compared null-safe.  Plain equality would make the optimizer test every computed key for NULL down at
+    the scan, on one side only: the expressions would run twice, and a table feeding both sides would be scanned and
+    shuffled twice.
     """
-    if spread & (spread - 1):
-        raise ValueError("spread must be a power of two")
     if spread > 1:
-        many = many.withColumn("_salt", F.xxhash64(spread_by).bitwiseAND(F.lit(spread - 1).cast("long")))
+        many = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(spread)))
         one = one.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(spread)])))
         keys = [*keys, "_salt"]
-    return many.join(one, keys).drop("_salt")
+    one = one.withColumnsRenamed({key: f"_one_{key}" for key in keys})
+    same = reduce(and_, (F.col(key).eqNullSafe(F.col(f"_one_{key}")) for key in keys))
+    return many.join(one, same).drop("_salt", *(f"_one_{key}" for key in keys))
