@@ -53,8 +53,8 @@ def address(lat: Column, lng: Column, zoom: int, clamp: bool = False) -> tuple[C
 
 
 def coarser(index: Column, levels) -> Column:
-    """The address, ``levels`` zooms up, that contains an address."""
-    return F.shiftright(index, levels) if isinstance(levels, int) else F.floor(index / F.pow(F.lit(2.0), levels))
+    """The address, ``levels`` zooms up, that contains an address; ``levels`` is a number or a column."""
+    return F.call_function("shiftright", index, F.lit(levels) if isinstance(levels, int) else levels)
 
 
 # World pixels at a zoom -------------------------------------------------------------------------------------------

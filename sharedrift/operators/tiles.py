@@ -44,10 +44,10 @@ def tile_pyramid(
     base = points.groupBy("orderkey", "specieskey", fx.alias("_fx"), fy.alias("_fy"), "year").agg(
         F.count("*").alias("n_points"), F.sum("count").alias("n_obs"))
     levels = base.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom))))
-    up = F.pow(F.lit(2.0), F.lit(max_zoom) - F.col("z"))
+    up = F.lit(max_zoom) - F.col("z")
     cells = levels.groupBy(
         "orderkey", "specieskey", "z",
-        F.floor(F.col("_fx") / up).alias("_cx"), F.floor(F.col("_fy") / up).alias("_cy"), "year",
+        mercator.coarser(F.col("_fx"), up).alias("_cx"), mercator.coarser(F.col("_fy"), up).alias("_cy"), "year",
     ).agg(F.sum("n_points").alias("n_points"), F.sum("n_obs").alias("n_obs"))
     return cells.select(
         "orderkey", "specieskey", "z",
@@ -74,11 +74,13 @@ def with_group_rows(pyramid: DataFrame) -> DataFrame:
 def tile_documents(pyramid: DataFrame, count: str = "n_points") -> DataFrame:
     """One JSON document per species and tile: year -> cell -> count.
 
-    A tile has at most 4^lookahead cells a year, which bounds each collected map.  Rows of ``with_group_rows`` keep
-    their flag, so a species and a group with the same key stay apart.
+    A tile has at most 4^lookahead cells a year, which bounds each collected map and each key of the one shuffle that
+    serves both levels.  Rows of ``with_group_rows`` keep their flag, so a species and a group with the same key stay
+    apart.
     """
     tile = [*TILE, *(["is_group"] if "is_group" in pyramid.columns else [])]
-    per_year = pyramid.groupBy(*tile, "year").agg(sorted_map("cellid", count).alias("cells"))
+    placed = pyramid.select(*tile, "year", "cellid", count).repartition(*tile)
+    per_year = placed.groupBy(*tile, "year").agg(sorted_map("cellid", count).alias("cells"))
     return per_year.groupBy(*tile).agg(F.to_json(sorted_map_of_maps("year", "cells")).alias("json"))
 
 
