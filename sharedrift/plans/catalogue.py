@@ -324,8 +324,8 @@ def grid10_slopes(spark, sf_dir):
 
 
 def mllib_mse(spark, sf_dir):
-    rows = learning.labelled(tiles.grid_counts(clean(spark, sf_dir))).where(
-        learning.in_training("specieskey", "year", "x", "y"))
+    grid = tables.written_once(tiles.grid_counts(clean(spark, sf_dir)))
+    rows = learning.labelled(grid).where(learning.in_training("specieskey", "year", "x", "y"))
     scored = learning.predictions(learning.train(rows), rows)
     return learning.mean_squared_error(scored).select("n", *rounded(mse=9))
 

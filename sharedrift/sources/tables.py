@@ -38,9 +38,12 @@ def read_orc(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).orc(path)
 
 
-def compact(df: DataFrame, path: str, files: int = 1) -> None:
-    """Few output files, for small exports.  Upstream work keeps its own parallelism."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def compact(df: DataFrame, path: str) -> None:
+    """As few files as their size allows: one for a small export, even-sized ones for a large result.
+
+    The rebalance hint lets adaptive execution merge small partitions and split large ones at the write.
+    """
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
 def write_tiles(documents: DataFrame, path: str) -> None:
@@ -110,3 +113,11 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/sharedrift-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder: a result used several times is computed once, and
+    a lost executor costs a re-read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
