@@ -10,6 +10,7 @@ from sharedrift import settings as S
 from sharedrift.functions.features import sorted_map
 from sharedrift.operators.counts import group_point_year
 from sharedrift.operators.filters import in_box
+from sharedrift.operators.joins import spread_join
 from sharedrift.operators.trends import fit_shares, year_sums
 
 CELL_E2 = 500  # side of a cover cell in hundredths of a degree
@@ -70,7 +71,7 @@ def group_years_in_boxes(boxes: DataFrame, group: DataFrame) -> DataFrame:
     either = places.withColumn("whole", F.lit(False)).unionByName(
         cells.withColumn("whole", F.lit(True)), allowMissingColumns=True)
     return (
-        either.join(covers, ["orderkey", "cell", "whole"])
+        spread_join(either, covers, ["orderkey", "cell", "whole"], spread=1)
         .where(F.col("year").between(F.col("min_year"), F.col("max_year")) & (F.col("whole") | _inside_request()))
         .groupBy("request_id", "year").agg(F.sum("n").alias("n"))
     )
@@ -85,7 +86,7 @@ def box_trends(counts: DataFrame, requests: DataFrame, min_fit_years: int = S.MI
     boxes = with_corners_ordered(requests)
     request = ["request_id", "orderkey", "specieskey", "min_year", "max_year"]
     species_years = (
-        counts.join(boxes, ["orderkey", "specieskey"])
+        spread_join(counts, boxes, ["orderkey", "specieskey"], spread_by=("lat_e2", "lng_e2"))
         .where(F.col("year").between(F.col("min_year"), F.col("max_year")))
         .groupBy(*request, "year").agg(F.sum(F.when(_inside_request(), F.col("n"))).alias("n"))
     )

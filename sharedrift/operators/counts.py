@@ -7,7 +7,7 @@ holding a large part of all rows arrives at the reducer as one row per map task
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharedrift.operators.joins import join_to_place
+from sharedrift.operators.joins import spread_join
 
 SPECIES_POINT = ("orderkey", "specieskey", "lat_e2", "lng_e2")
 GROUP_POINT = ("orderkey", "lat_e2", "lng_e2")
@@ -71,9 +71,9 @@ def group_point_year_direct(clean: DataFrame) -> DataFrame:
 def species_group_wide(counts: DataFrame, group: DataFrame) -> DataFrame:
     """Species count beside its group's count, per place and year.
 
-    Spread by species (see ``joins.join_to_place``), so one crowded place-year does not land in one task.
+    Spread by species (see ``joins.spread_join``), so one crowded place-year does not land in one task.
     """
-    return join_to_place(
+    return spread_join(
         counts.withColumnRenamed("n", "speciescount"),
         group.withColumnRenamed("n", "ordercount"),
         [*GROUP_POINT, "year"],

@@ -1,5 +1,6 @@
-"""Joins of many rows per place with one row per place."""
+"""The one kind of join all trends use: many rows per key with few rows per key, safe for crowded keys."""
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -9,24 +10,27 @@ from pyspark.sql import functions as F
 from sharedrift import settings as S
 
 
-def join_to_place(
-    many: DataFrame, one: DataFrame, keys: list[str], spread: int = S.PLACE_SPREAD, spread_by: str = "specieskey"
+def spread_join(
+    many: DataFrame, few: DataFrame, keys: Sequence[str], spread_by: Sequence[str] = ("specieskey",),
+    spread: int = S.JOIN_SPREAD,
 ) -> DataFrame:
-    """Inner join of species rows with the single row of their place, safe for a place that holds most species.
+    """Inner join in which a key holding a large part of ``many`` does not land in one task.
 
-    Species rows of one place are spread over ``spread`` tasks by a salt of the species, and the place rows (no
-    species dimension, so the small side) are copied once per salt.  The salt is part of the join key, so both sides
-    are shuffled for this join alone and adaptive execution may still split a skewed partition, or turn the join
-    into a broadcast once it has measured the place side; no broadcast is forced here.
+    Rows of ``many`` are salted over ``spread`` tasks by a hash of the ``spread_by`` columns, and the rows of ``few``
+    (the small side: one row per place, or the requests of a species) are copied once per salt.  The salt is part of
+    the join key, so both sides are shuffled for this join alone and no later grouping can lean on its partitioning:
+    adaptive execution stays free to split a skewed partition further, or to turn the join into a broadcast once it
+    has measured the small side.  No broadcast is forced here.
 
     Keys are compared null-safe.  Plain equality would make the optimizer test every computed key for NULL down at
     the scan, on one side only: the expressions would run twice, and a table feeding both sides would be scanned and
     shuffled twice.
     """
+    keys = list(keys)
     if spread > 1:
-        many = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(spread)))
-        one = one.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(spread)])))
-        keys = [*keys, "_salt"]
-    one = one.withColumnsRenamed({key: f"_one_{key}" for key in keys})
-    same = reduce(and_, (F.col(key).eqNullSafe(F.col(f"_one_{key}")) for key in keys))
-    return many.join(one, same).drop("_salt", *(f"_one_{key}" for key in keys))
+        many = many.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(spread)))
+        few = few.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(spread)])))
+        keys.append("_salt")
+    few = few.withColumnsRenamed({key: f"_few_{key}" for key in keys})
+    same = reduce(and_, (F.col(key).eqNullSafe(F.col(f"_few_{key}")) for key in keys))
+    return many.join(few, same).drop("_salt", *(f"_few_{key}" for key in keys))

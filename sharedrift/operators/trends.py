@@ -18,7 +18,7 @@ from sharedrift import settings as S
 from sharedrift.functions import statistics
 from sharedrift.functions.features import sorted_map
 from sharedrift.operators.filters import in_years
-from sharedrift.operators.joins import join_to_place
+from sharedrift.operators.joins import spread_join
 
 STATISTICS = ("slope", "intercept", "significance", "sse", "intercept_stderr", "mse", "slope_stderr")
 
@@ -106,7 +106,7 @@ def share_trends(
         counts = in_years(counts, *years)
     keys = ["orderkey", *place]
     totals = counts.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
-    joined = join_to_place(
+    joined = spread_join(
         species_year_maps(counts, place, min_species_years), group_year_maps(totals, keys), keys
     )
     return fit_shares(joined, min_fit_years, fill_unfitted)
@@ -129,7 +129,7 @@ def yearly_shares(counts: DataFrame, place: tuple[str, ...]) -> DataFrame:
     """
     keys = ["orderkey", *place]
     totals = counts.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
-    joined = join_to_place(species_year_maps(counts, place), group_year_maps(totals, keys), keys)
+    joined = spread_join(species_year_maps(counts, place), group_year_maps(totals, keys), keys)
     return (
         joined
         .select("specieskey", *keys, "species_seen", F.explode("group_counts").alias("year", "group_n"))

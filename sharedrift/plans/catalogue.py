@@ -402,7 +402,7 @@ def _charted(spark, sf_dir):
 def chart_series(spark, sf_dir):
     series = charts.chart_series(
         _charted(spark, sf_dir), ["request_id", "specieskey"], F.col("min_year"), F.col("max_year"))
-    return series.select("request_id", "specieskey", "year", *rounded(share=9, line=6, group_line=9))
+    return series.select("request_id", "specieskey", "year", *rounded(share=9, line=6, group_line=8))
 
 
 def trend_summary(spark, sf_dir):

@@ -424,7 +424,7 @@ FROM drawn""",
     "chart_series": AXIS + """
 SELECT request_id, specieskey, year, round(share, 9) + 0.0 AS share, round(line, 6) + 0.0 AS line,
        CASE WHEN max(g) OVER w > 0
-            THEN round(coalesce(max(share) OVER w, 0) * coalesce(g, 0) / CAST(max(g) OVER w AS DOUBLE), 9) + 0.0
+            THEN round(coalesce(max(share) OVER w, 0) * coalesce(g, 0) / CAST(max(g) OVER w AS DOUBLE), 8) + 0.0
        END AS group_line
 FROM series WINDOW w AS (PARTITION BY request_id)""",
     "trend_summary": BOX_FIT + """,

@@ -39,6 +39,5 @@ SLOPE_BREAKS = (0.0008, 0.0006, 0.0004, 0.0002, 0.0, -0.0002, -0.0004, -0.0006,
 # Years are shifted by this origin before they are squared, so the sums stay exact in a bigint.
 YEAR_ORIGIN = 2000
 
-# Copies of the one-row-per-place side of a trend join; a place holding very many species is spread over this many
-# tasks.  See operators/trends.py.
-PLACE_SPREAD = 8
+# Tasks over which one crowded join key is spread, and copies made of the small side.  See operators/joins.py.
+JOIN_SPREAD = 8

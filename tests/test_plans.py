@@ -60,3 +60,19 @@ def test_a_crowded_place_is_split(spark):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_a_crowded_species_is_split_before_its_boxes_are_summed(spark):
+    """The join of places with requests is salted, so the sums per request are combined after it."""
+    from sharedrift.operators import boxes
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = boxes.box_trends(
+            catalogue.point_counts(spark, SMALL), catalogue.box_requests(spark, SMALL)
+        )._jdf.queryExecution().executedPlan().toString()
+        join = next(line for line in plan.splitlines() if "SortMergeJoin" in line and "specieskey" in line)
+        assert "_salt" in join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sharedrift.functions import statistics
 from sharedrift.operators import counts as counting
 from sharedrift.operators import fits, trends
-from sharedrift.operators.joins import join_to_place
+from sharedrift.operators.joins import spread_join
 
 
 def p_value(t, nu):
@@ -160,9 +160,9 @@ def test_group_totals_two_ways(spark, sf_dir):
 
 
 @pytest.mark.parametrize("spread", [1, 3, 8])
-def test_join_to_place_any_spread(spark, spread):
+def test_spread_join(spark, spread):
     many = spark.createDataFrame([(1, s, 5) for s in range(40)] + [(None, 99, 5)],
                                  "orderkey int, specieskey int, place int")
     one = spark.createDataFrame([(1, 5, "a"), (2, 5, "b")], "orderkey int, place int, v string")
-    got = join_to_place(many, one, ["orderkey", "place"], spread).collect()
+    got = spread_join(many, one, ["orderkey", "place"], spread=spread).collect()
     assert sorted(r["specieskey"] for r in got) == list(range(40)) and {r["v"] for r in got} == {"a"}
