@@ -13,11 +13,16 @@ def labelled(df: DataFrame, label: str = "count") -> DataFrame:
 
 
 def in_training(*key: str, share: float = 0.7) -> Column:
-    """A repeatable split: the row's key hashes into the training share.  (``randomSplit`` is the other choice.)"""
+    """A split that is the same on every run and engine: the row's key hashes into the training share."""
     digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
     return F.substring(digest, 1, 4) < F.lit(f"{round(share * 0x10000):04x}")
 
 
+def random_split(df: DataFrame, share: float = 0.7, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    training, test = df.randomSplit([share, 1 - share], seed)
+    return training, test
+
+
 def train(rows: DataFrame) -> LinearRegressionModel:
     """Closed-form least squares, one distributed pass; the driver receives only the 2x2 moment sums."""
     return LinearRegression(solver="normal", featuresCol="features", labelCol="label").fit(rows)

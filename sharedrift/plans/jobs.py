@@ -69,11 +69,11 @@ def tile_documents(spark: SparkSession, points_path: str, out: str) -> None:
 
 def map_features(spark: SparkSession, prepared: str, out: str, zooms: Sequence[int], radius: float,
                  years: tuple[int, int], min_years: int = S.YEAR_THRESHOLD_DEFAULT) -> None:
-    """Point and hexagon trend features for every tile of the zooms, partitioned by zoom."""
+    """Point and hexagon trend features for every tile of the zooms."""
     per_point = read_species_point_year(spark, prepared)
     points = tiles.point_tile_features(
         trends.point_trends(per_point, years=years, min_species_years=min_years), zooms)
-    points.write.mode("overwrite").partitionBy("z").parquet(f"{out}/points")
+    tables.write_by_zoom(points, f"{out}/points", "x", "y", "specieskey", "lat_e2", "lng_e2")
     hexagons = hexes.hex_tile_features(
         hexes.hex_trends(per_point, zooms, radius, years, min_species_years=min_years), radius)
-    hexagons.write.mode("overwrite").partitionBy("z").parquet(f"{out}/hexagons")
+    tables.write_by_zoom(hexagons, f"{out}/hexagons", "x", "y", "specieskey", "hex_c", "hex_k")

@@ -34,6 +34,11 @@ def write_orc(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").orc(path)
 
 
+def save_table(df: DataFrame, name: str, path: str, fmt: str = "orc") -> None:
+    """Create a catalog table from the rows, stored at ``path``."""
+    df.write.mode("overwrite").format(fmt).option("path", path).saveAsTable(name)
+
+
 def read_orc(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).orc(path)
 
@@ -46,11 +51,18 @@ def compact(df: DataFrame, path: str) -> None:
     df.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
+def write_by_zoom(df: DataFrame, path: str, *key: str) -> None:
+    """One folder per zoom, rows ordered by ``key`` within files, so a tile is read from few files.
+
+    The key should be unique: the single tile of zoom 0 is then cut into as many files as its size asks for.
+    """
+    order = ["z", *key]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("z").parquet(path)
+
+
 def write_tiles(documents: DataFrame, path: str) -> None:
-    """Tile documents keyed by (z, species, x, y): one folder per zoom, rows ordered by key within files."""
-    keys = ["z", "specieskey", "x", "y"]
-    documents.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("z").parquet(
-        path)
+    """Tile documents keyed by (z, species, x, y)."""
+    write_by_zoom(documents, path, "specieskey", "x", "y")
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:

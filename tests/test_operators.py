@@ -176,6 +176,8 @@ def test_learning_fit(spark):
 def test_training_share(spark):
     df = spark.range(20000).where(learning.in_training("id"))
     assert 0.68 < df.count() / 20000 < 0.72
+    training, test = learning.random_split(spark.range(20000), seed=1)
+    assert 0.68 < training.count() / 20000 < 0.72 and training.count() + test.count() == 20000
 
 
 def test_group_maps(spark):
