@@ -42,19 +42,15 @@ def _cell(cell_lat: Column, cell_lng: Column) -> Column:
     return F.coalesce((cell_lat + 1000) * 10000 + cell_lng + 1000, F.lit(-1))
 
 
-def group_years_in_boxes(boxes: DataFrame, group: DataFrame) -> DataFrame:
-    """Group observations per request and year, for boxes of any size and number.
-
-    Boxes are covered by grid cells and meet the data by an equi-join on the cell.  A cell wholly inside its box
-    takes counts already summed per cell and year; only cells on the box's edge take single places and test them.
-    """
+def _covers(boxes: DataFrame) -> DataFrame:
+    """One row per request and grid cell its box touches; ``whole`` where the cell lies entirely inside."""
     lat, lng = F.col("_cell_lat"), F.col("_cell_lng")
 
     def contained(cell: Column, low: str, high: str) -> Column:
         start = cell * CELL_E2
         return (start / F.lit(100.0) >= F.col(low)) & ((start + CELL_E2 - 1) / F.lit(100.0) <= F.col(high))
 
-    covers = (
+    return (
         boxes
         .withColumn("_cell_lat", F.explode(_cover(F.col("min_lat"), F.col("max_lat"), S.MAX_PLOT_LATITUDE)))
         .withColumn("_cell_lng", F.explode(_cover(F.col("min_lng"), F.col("max_lng"), S.MAX_PLOT_LONGITUDE)))
@@ -62,21 +58,49 @@ def group_years_in_boxes(boxes: DataFrame, group: DataFrame) -> DataFrame:
             "cell": _cell(lat, lng),
             "whole": contained(lat, "min_lat", "max_lat") & contained(lng, "min_lng", "max_lng"),
         })
-        .select("request_id", "orderkey", "cell", "whole", "min_lat", "max_lat", "min_lng", "max_lng", "min_year",
-                "max_year")
+        .drop("_cell_lat", "_cell_lng")
     )
-    places = group.withColumn("cell", _cell(
+
+
+def years_in_boxes(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> DataFrame:
+    """Observations per request and year inside its box, for boxes of any size and number.
+
+    ``subject`` names the keys a request shares with the counts: the group, or the group and species.  Boxes are
+    covered by grid cells and meet the data by an equi-join on subject and cell, so no request is ever compared with
+    places far from it.  A cell wholly inside its box takes counts already summed per cell and year; only cells on
+    the box's edge take single places and test them.
+    """
+    keys = [*subject, "cell"]
+    places = counts.withColumn("cell", _cell(
         F.floor(F.col("lat_e2") / CELL_E2).cast("int"), F.floor(F.col("lng_e2") / CELL_E2).cast("int")))
-    cells = places.groupBy("orderkey", "cell", "year").agg(F.sum("n").alias("n"))
-    either = places.withColumn("whole", F.lit(False)).unionByName(
+    cells = places.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
+    columns = [*keys, "lat_e2", "lng_e2", "year", "n"]
+    either = places.select(*columns, F.lit(False).alias("whole")).unionByName(
         cells.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    covers = _covers(boxes).select(
+        "request_id", *keys, "whole", "min_lat", "max_lat", "min_lng", "max_lng", "min_year", "max_year")
     return (
-        spread_join(either, covers, ["orderkey", "cell", "whole"], spread=1)
+        spread_join(either, covers, [*keys, "whole"], spread=1)
         .where(F.col("year").between(F.col("min_year"), F.col("max_year")) & (F.col("whole") | _inside_request()))
         .groupBy("request_id", "year").agg(F.sum("n").alias("n"))
     )
 
 
+def _with_any_data(boxes: DataFrame, counts: DataFrame) -> DataFrame:
+    """Requests whose species was seen anywhere in the years asked for."""
+    # the record total is tested so that this reads the same counts, and shares their scan, as the other sides
+    species = (
+        counts.groupBy("orderkey", "specieskey")
+        .agg(F.collect_set("year").alias("_years"), F.sum("n").alias("_records"))
+        .where(F.col("_records") > 0).drop("_records")
+    )
+    return (
+        spread_join(boxes, species, ["orderkey", "specieskey"], spread_by=("request_id",))
+        .where(F.exists("_years", lambda year: year.between(F.col("min_year"), F.col("max_year"))))
+        .drop("_years")
+    )
+
+
 def box_trends(counts: DataFrame, requests: DataFrame, min_fit_years: int = S.MIN_FIT_YEARS_BOX) -> DataFrame:
     """One trend per request whose species has any data in the years asked for, even if none lies in the box.
 
@@ -84,23 +108,21 @@ def box_trends(counts: DataFrame, requests: DataFrame, min_fit_years: int = S.MI
     The one count table feeds the species and the group side, from one scan and shuffle.
     """
     boxes = with_corners_ordered(requests)
-    request = ["request_id", "orderkey", "specieskey", "min_year", "max_year"]
-    species_years = (
-        spread_join(counts, boxes, ["orderkey", "specieskey"], spread_by=("lat_e2", "lng_e2"))
-        .where(F.col("year").between(F.col("min_year"), F.col("max_year")))
-        .groupBy(*request, "year").agg(F.sum(F.when(_inside_request(), F.col("n"))).alias("n"))
+    seen = years_in_boxes(boxes, counts, ["orderkey", "specieskey"]).groupBy("request_id").agg(
+        sorted_map("year", "n").alias("species_seen"))
+    group = years_in_boxes(boxes, group_point_year(counts), ["orderkey"]).groupBy("request_id").agg(
+        *year_sums(), sorted_map("year", "n").alias("group_counts"))
+    none, empty = F.lit(0).cast("long"), F.create_map().cast("map<int,bigint>")
+    joined = (
+        _with_any_data(boxes, counts)
+        .select("request_id", "orderkey", "specieskey", "min_year", "max_year")
+        .join(seen, "request_id", "left").join(group, "request_id", "left")
+        .withColumns({
+            "species_seen": F.coalesce("species_seen", empty),
+            "group_years": F.coalesce("group_years", none),
+            "_sx": F.coalesce("_sx", none),
+            "_sxx": F.coalesce("_sxx", none),
+            "group_counts": F.coalesce("group_counts", empty),
+        })
     )
-    # years without a hit inside the box are not collected: collect_list skips the NULL struct
-    hit = F.when(F.col("n").isNotNull(), F.struct("year", "n"))
-    seen = species_years.groupBy(*request).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(hit))).alias("species_seen"))
-    group = group_years_in_boxes(boxes, group_point_year(counts))
-    group_maps = group.groupBy("request_id").agg(*year_sums(), sorted_map("year", "n").alias("group_counts"))
-    none = F.lit(0).cast("long")
-    joined = seen.join(group_maps, "request_id", "left").withColumns({
-        "group_years": F.coalesce("group_years", none),
-        "_sx": F.coalesce("_sx", none),
-        "_sxx": F.coalesce("_sxx", none),
-        "group_counts": F.coalesce("group_counts", F.create_map().cast("map<int,bigint>")),
-    })
     return fit_shares(joined, min_fit_years)

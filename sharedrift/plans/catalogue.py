@@ -42,7 +42,7 @@ def exact_points(spark: SparkSession, sf_dir: str, with_name: bool = False) -> D
 
 
 def box_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per supplier: a box placed by its key, corners in either order, years by its parity."""
+    """One request per supplier: a box placed by its key, corners in either order, years by its remainders."""
     key = F.col("s_suppkey")
     start_lat, start_lng = (key * 37 % 130 - 80).cast("double"), (key * 53 % 300 - 175).cast("double")
     height, width = (key % 5 * 10 + 15).cast("double"), (key % 7 * 10 + 20).cast("double")
@@ -58,7 +58,7 @@ def box_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flip, start_lat).otherwise(start_lat + height).alias("lat_b"),
         (start_lng + width).alias("lng_b"),
         F.when(flip, 1996).otherwise(1995).alias("min_year"),
-        F.lit(2001).alias("max_year"),
+        F.when(key % 3 == 0, 2000).otherwise(2001).alias("max_year"),
     )
 
 

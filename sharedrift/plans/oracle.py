@@ -170,7 +170,8 @@ requests AS (
          CAST(s_suppkey * 37 % 130 - 80 + s_suppkey % 5 * 10 + 15 AS DOUBLE) AS max_lat,
          CAST(s_suppkey * 53 % 300 - 175 AS DOUBLE) AS min_lng,
          CAST(s_suppkey * 53 % 300 - 175 + s_suppkey % 7 * 10 + 20 AS DOUBLE) AS max_lng,
-         CASE WHEN s_suppkey % 2 = 1 THEN 1996 ELSE 1995 END AS min_year, 2001 AS max_year
+         CASE WHEN s_suppkey % 2 = 1 THEN 1996 ELSE 1995 END AS min_year,
+         CASE WHEN s_suppkey % 3 = 0 THEN 2000 ELSE 2001 END AS max_year
   FROM supplier),
 answered AS (
   SELECT DISTINCT r.*, s.orderkey FROM requests r JOIN spy s USING (specieskey)
