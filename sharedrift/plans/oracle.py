@@ -5,7 +5,7 @@ from sharedrift.plans import catalogue as C
 
 OCC = """
 occ AS (
-  SELECT l_orderkey*10 + l_linenumber AS gbifid,
+  SELECT l_orderkey*10 + l_linenumber AS recordid,
          CAST(NULL AS INTEGER) AS kingdomkey, CAST(NULL AS INTEGER) AS phylumkey, CAST(NULL AS INTEGER) AS classkey,
          CAST(n_regionkey AS INTEGER) AS orderkey, CAST(s_nationkey AS INTEGER) AS familykey,
          CAST(NULL AS INTEGER) AS genuskey,

@@ -12,7 +12,7 @@ _INT, _LONG, _DOUBLE, _TEXT, _FLAG = (
 )
 
 OCCURRENCE = _struct(
-    gbifid=_LONG, kingdomkey=_INT, phylumkey=_INT, classkey=_INT, orderkey=_INT, familykey=_INT, genuskey=_INT,
+    recordid=_LONG, kingdomkey=_INT, phylumkey=_INT, classkey=_INT, orderkey=_INT, familykey=_INT, genuskey=_INT,
     specieskey=_INT, taxonkey=_INT, decimallatitude=_DOUBLE, decimallongitude=_DOUBLE, hasgeospatialissues=_FLAG,
     year=_INT, month=_INT, day=_INT, basisofrecord=_TEXT, datasetkey=_TEXT, publishingorgkey=_TEXT,
     countrycode=_TEXT, scientificname=_TEXT,

@@ -44,7 +44,7 @@ def occurrences_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("PRESERVED_SPECIMEN")
     )
     return rows.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gbifid"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("recordid"),
         absent.cast("int").alias("kingdomkey"),
         absent.cast("int").alias("phylumkey"),
         absent.cast("int").alias("classkey"),

@@ -13,7 +13,7 @@ GOOD = dict(orderkey=797, specieskey=1, taxonkey=1, decimallatitude=10.0, decima
 
 
 def occurrences(spark, *changes):
-    rows = [{**dict.fromkeys(schemas.OCCURRENCE.fieldNames()), **GOOD, **c, "gbifid": i}
+    rows = [{**dict.fromkeys(schemas.OCCURRENCE.fieldNames()), **GOOD, **c, "recordid": i}
             for i, c in enumerate(changes)]
     return spark.createDataFrame(rows, schemas.OCCURRENCE)
 
