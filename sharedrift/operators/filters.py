@@ -10,7 +10,7 @@ from sharedrift.functions.mercator import plottable
 def quality_filter(
     occurrences: DataFrame, group_key: int | None = None, min_year: int = S.MIN_RECORD_YEAR
 ) -> DataFrame:
-    """Observations fit for trends, of one group or (``None``) of all groups.
+    """Observations fit for trends, of one group or (``None``) of every group; without a group there is no share.
 
     A NULL issue flag or basis of record drops the row, as in SQL.
     """
@@ -21,9 +21,8 @@ def quality_filter(
         & (F.col("year") >= min_year)
         & ~F.col("basisofrecord").isin(*S.EXCLUDED_BASES)
     )
-    if group_key is not None:
-        keep = (F.col("orderkey") == group_key) & keep
-    return occurrences.where(keep)
+    group = F.col("orderkey")
+    return occurrences.where((group.isNotNull() if group_key is None else group == group_key) & keep)
 
 
 def accepted_names_only(occurrences: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ clean AS (
          CAST(round(round(decimallatitude, 2) * 100) AS INTEGER) AS lat_e2,
          CAST(round(round(decimallongitude, 2) * 100) AS INTEGER) AS lng_e2
   FROM occ
-  WHERE specieskey IS NOT NULL AND decimallatitude BETWEEN -85 AND 85 AND decimallongitude BETWEEN -180 AND 180
+  WHERE orderkey IS NOT NULL AND specieskey IS NOT NULL AND decimallatitude BETWEEN -85 AND 85 AND decimallongitude BETWEEN -180 AND 180
     AND hasgeospatialissues = false AND year >= 1900
     AND basisofrecord <> 'FOSSIL_SPECIMEN' AND basisofrecord <> 'LIVING_SPECIMEN')"""
 

@@ -36,7 +36,7 @@ def test_quality_filter(spark, change, kept):
 
 
 def test_quality_filter_of_all_groups_and_later_floor(spark):
-    df = occurrences(spark, {}, {"orderkey": 5}, {"year": 1971})
+    df = occurrences(spark, {}, {"orderkey": 5}, {"year": 1971}, {"orderkey": None})
     assert filters.quality_filter(df).count() == 3
     assert filters.quality_filter(df, min_year=S.MIN_RECORD_YEAR_PYRAMID).count() == 1
 
