@@ -47,10 +47,11 @@ def chart_series(trends: DataFrame, keys: list[str], min_year: Column, max_year:
 def trend_summary(trends: DataFrame, keys: list[str], min_year: Column, max_year: Column) -> DataFrame:
     """Yearly rate per ten thousand, level at the axis end in percent of its start, and direction.
 
-    The level is given only when both ends of the line are above zero; ``change_pct`` is the level less 100.
+    The level is given only when both ends of the line are above zero, by more than the rounding noise of a line that
+    ends at zero exactly; ``change_pct`` is the level less 100.
     """
     start, end = fitted(min_year), fitted(max_year - 1)
-    ratio = F.when((start > 0) & (end > 0), _half_up(end * 100 / start))
+    ratio = F.when((start > S.LEVEL_NOISE) & (end > S.LEVEL_NOISE), _half_up(end * 100 / start))
     return trends.select(
         *keys,
         (_half_up(F.col("slope") * 1000000) / F.lit(100.0)).alias("rate_per_10k"),

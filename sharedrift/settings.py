@@ -41,3 +41,6 @@ YEAR_ORIGIN = 2000
 
 # Tasks over which one crowded join key is spread, and copies made of the small side.  See operators/joins.py.
 JOIN_SPREAD = 8
+
+# A fitted share this close to zero is zero: what is left of it is floating-point noise.
+LEVEL_NOISE = 1e-10

@@ -157,6 +157,12 @@ def test_summary_without_level(spark):
     assert got["level_ratio_pct"] is None and got["direction"] == "decline" and got["rate_per_10k"] == -1000.0
 
 
+def test_level_of_a_line_that_starts_at_zero(spark):
+    slope = 0.1 / 3
+    row = trend_row(spark, slope, -slope * 1995 + 3e-14, {2000: 1}, {2000: 1})
+    assert charts.trend_summary(row, ["k"], F.lit(1995), F.lit(2001)).first()["level_ratio_pct"] is None
+
+
 def test_slope_classes(spark):
     cases = [(0.01, 0), (0.0008, 0), (0.00079, 1), (0.0006, 1), (0.0004, 2), (0.0002, 3), (0.0, 4), (-1e-9, 5),
              (-0.0002, 5), (-0.0004, 6), (-0.0006, 7), (-0.0008, 8), (-0.00081, 9), (-1.0, 9), (None, None)]
