@@ -116,14 +116,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 # Shared scratch ---------------------------------------------------------------------------------------------------
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared folder the session names; a local one only if it names none (as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="sharedrift-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
+    """A fresh folder on storage that the driver and all executors share: below the folder ``spark.checkpoint.dir``
+    names, else below the session's warehouse.  The caller may delete it once nothing reads it any more."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/sharedrift-{uuid.uuid4().hex}"
 
 
