@@ -16,6 +16,7 @@ vocabulary cannot spell is an error, as is an id outside it.
 """
 
 import base64
+import re
 from collections.abc import Iterator
 
 import duckdb
@@ -26,12 +27,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 500_000  # distinct words and chunks a worker keeps
-QUERY_WORDS = 40_000  # words in one recursive query
+CACHE_WORDS = 700_000  # distinct words and chunks a worker keeps
+QUERY_WORDS = 20_000  # words in one recursive query
 QUERY_IDS = 500_000  # ids in one decoding query
-SLICE_BYTES = 8_000_000  # text or ids handled at once
+SLICE_BYTES = 2_000_000  # text or ids handled at once
 LONG_WORD = 64  # bytes from which equal pairs are contracted together
-DUCKDB_MEMORY = "300MB"
+DUCKDB_MEMORY = "200MB"
+
+LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
 # A step contracts the leftmost pair of minimum rank of every word.
 ENCODE = """
@@ -98,19 +101,30 @@ class Codec:
         self.vocabulary = np.fromiter(self.ranks.values(), dtype=np.uint32)
         self.known: dict[str, bytes] = {}
         self.byte_rank = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
-        merges = [
-            (a, b, m) for token, m in self.ranks.items() for cut in range(1, len(token))
-            if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None]
-        left, right, merged = np.array(merges, dtype=np.int64).reshape(-1, 3).T
-        unsafe = np.union1d(left[left > merged], right[right > merged])
         self.db = duckdb.connect()
         self.db.execute(f"SET threads = 1; SET memory_limit = '{DUCKDB_MEMORY}'")
-        self.db.register("given", pa.table({
-            "pair": left * 65536 + right, "m": merged, "safe": ~np.isin(merged, unsafe)}))
-        self.db.execute("CREATE TABLE merges AS FROM given")
-        self.db.register("given", pa.table({
-            "id": self.vocabulary, "chars": [t.decode("latin-1") for t in self.ranks]}))
-        self.db.execute("CREATE TABLE vocab AS FROM given")
+        self.tables: set[str] = set()
+
+    def _need(self, name: str, content) -> None:
+        """Make a table on its first use: a worker that only decodes needs no merge table, and the other way round."""
+        if name not in self.tables:
+            self.db.register("given", content())
+            self.db.execute(f"CREATE TABLE {name} AS FROM given")
+            self.db.unregister("given")
+            self.tables.add(name)
+
+    def _merges(self) -> pa.Table:
+        """Every pair of tokens that together is a token."""
+        rows = np.array([
+            (a, b, m) for token, m in self.ranks.items() for cut in range(1, len(token))
+            if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None],
+            dtype=np.int64).reshape(-1, 3)
+        left, right, merged = rows.T
+        unsafe = np.union1d(left[left > merged], right[right > merged])
+        return pa.table({"pair": left * 65536 + right, "m": merged, "safe": ~np.isin(merged, unsafe)})
+
+    def _vocab(self) -> pa.Table:
+        return pa.table({"id": self.vocabulary, "chars": [token.decode("latin-1") for token in self.ranks]})
 
     def solve(self, words: list[str]) -> None:
         """Add the ids of distinct words to ``known``."""
@@ -142,6 +156,7 @@ class Codec:
         if (tokens < 0).any():
             raise ValueError("a byte of the text is not in the vocabulary")
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self._need("merges", self._merges)
         self.db.register("seed", pa.table({
             "w": np.repeat(np.array(rest, dtype=np.int64), sizes), "i": np.arange(len(raw)) - starts, "tok": tokens}))
         solved = self.db.sql(query).to_arrow_table().combine_chunks()
@@ -153,9 +168,9 @@ class Codec:
 
     def chunks(self, text: str) -> list[str]:
         """Cut before every space that something other than white space follows: no word of the pattern spans it."""
-        parts = text.split(" ")
-        if any(not part or part[0].isspace() for part in parts[1:]):
+        if LOOSE_SPACE.search(text):
             return regex.split(r"(?= \S)", text, flags=regex.V1)
+        parts = text.split(" ")
         return parts[:1] + [" " + part for part in parts[1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -195,6 +210,7 @@ class Codec:
         part = np.repeat(np.arange(len(group)), [len(piece) // 4 for _, piece in group])
         if not np.isin(ids, self.vocabulary).all():
             raise ValueError("an id is not in the vocabulary")
+        self._need("vocab", self._vocab)
         self.db.register("pieces", pa.table({"part": part, "place": np.arange(len(ids)), "id": ids}))
         chars = dict(self.db.execute(DECODE).fetchall())
         for k, (n, _) in enumerate(group):
