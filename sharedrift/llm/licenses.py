@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sharedrift.llm.common import text_key
+from sharedrift.sources.tables import written_once
 
 # --- fixed values: what marks a license -----------------------------------------------------------------------------
 PHRASES = (
@@ -84,14 +85,14 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     runs = worded.select(
         "doc_id", "_text", F.size("_words").alias("n_words"),
         F.posexplode(F.concat(_grams("_words"), F.array(F.lit(None).cast("string")))).alias("place", "_gram"),
-    ).withColumn("_hash", F.coalesce(F.xxhash64("_gram"), F.lit(0).cast("long")))
-    runs = runs.withColumn("_hash", F.when(F.col("_gram").isNull(), F.lit(0).cast("long")).otherwise(F.col("_hash")))
+    ).withColumn("_hash", F.when(F.col("_gram").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("_gram")))
     matches = runs.join(F.broadcast(known.union(marker)), "_hash").filter(F.col("_gram").eqNullSafe(F.col("gram")))
-    votes = matches.groupBy(
-        "doc_id", "_text", "n_words", "template", "label", "exact", "n_grams", (F.col("place") - F.coalesce("at", "place")).alias("diagonal"),
+    votes = written_once(matches.groupBy(
+        "doc_id", "_text", "n_words", "template", "label", "exact", "n_grams",
+        (F.col("place") - F.coalesce("at", "place")).alias("diagonal"),
     ).agg(
         F.count_distinct("at").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"),
-        F.count(F.lit(1)).alias("copies"))
+        F.count(F.lit(1)).alias("copies")))
     exact = votes.filter("exact AND votes = n_grams").select(
         "doc_id", "_text", "template", "label", "exact", F.col("diagonal").alias("start"),
         (F.col("diagonal") + F.col("n_grams") + GRAM - 1).alias("end"), F.lit(1.0).alias("coverage"),
