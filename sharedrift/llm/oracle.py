@@ -85,11 +85,14 @@ filled AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM filled GROUP BY doc_id),
 hashed AS (
-  SELECT *, md5(normal) AS hash, min(md5(normal)) OVER (PARTITION BY doc_id) AS copy_key,
-         length(normal) - length(replace(normal, ' ', '')) + 1 AS n
-  FROM filled),
+  SELECT *, md5(normal) AS hash, length(normal) - length(replace(normal, ' ', '')) + 1 AS n FROM filled),
+firsts AS (
+  SELECT doc_id, min(hash) AS one, min(hash) FILTER (hash <> one_hash) AS two
+  FROM (SELECT *, min(hash) OVER (PARTITION BY doc_id) AS one_hash FROM hashed) GROUP BY doc_id),
+keyed AS (
+  SELECT source, hash, coalesce(CASE WHEN hash = one THEN two ELSE one END, '') AS copy_key FROM hashed JOIN firsts USING (doc_id)),
 common AS (
-  SELECT source, hash FROM hashed GROUP BY source, hash HAVING count(DISTINCT copy_key) > {quality.LINE_LIMIT}),
+  SELECT source, hash FROM keyed GROUP BY source, hash HAVING count(DISTINCT copy_key) > {quality.LINE_LIMIT}),
 removed AS (
   SELECT doc_id, sum(n) AS n FROM hashed SEMI JOIN common ON hashed.source IS NOT DISTINCT FROM common.source
     AND hashed.hash = common.hash GROUP BY doc_id),

@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in Spark expressions only.
 
 Lines are normalised (words in lower case, one space between) and hashed.  For every host and line the distinct documents
-that hold it are counted; copies of a text count as one document, known by its smallest line hash, so that a text which is
-merely copied keeps its lines.  Lines in more than ``LINE_LIMIT`` documents of a host are boilerplate and removed;
+that hold it are counted; copies of a text count as one document, known by the smallest hash of its other lines, so that a
+text which is merely copied keeps its lines.  Lines in more than ``LINE_LIMIT`` documents of a host are boilerplate and removed;
 documents left with less than ``MIN_KEPT`` of their words are depleted and rejected, as are those that fail the base
 rules (too few words, too many repeated ones).
 
@@ -70,9 +70,11 @@ def line_words(docs: DataFrame) -> DataFrame:
         F.filter(F.transform(F.split("text", "\n"), normal), lambda line: line != "").alias("_lines"))
     hashed = split.withColumn("_hashes", F.transform("_lines", lambda line: F.struct(
         F.unhex(F.md5(line)).alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).alias("n"))))
-    return hashed.select(
-        *KEY, F.array_min("_hashes")["line"].alias("copy_key"), F.explode("_hashes").alias("_h")).select(
-            *KEY, "copy_key", "_h.line", "_h.n")
+    # the smallest hash and the next one, so each line has another line's for its text's key
+    two = F.slice(F.sort_array(F.array_distinct(F.transform("_hashes", lambda h: h["line"]))), 1, 2)
+    rows = hashed.withColumn("_two", two).select(*KEY, "_two", F.explode("_hashes").alias("_h"))
+    other = F.when(F.col("_h.line") == F.get("_two", F.lit(0)), F.get("_two", F.lit(1))).otherwise(F.get("_two", F.lit(0)))
+    return rows.select(*KEY, other.alias("copy_key"), "_h.line", "_h.n")
 
 
 def boilerplate(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
