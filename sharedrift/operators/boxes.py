@@ -80,7 +80,7 @@ def years_in_boxes(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> D
     covers = _covers(boxes).select(
         "request_id", *keys, "whole", "min_lat", "max_lat", "min_lng", "max_lng", "min_year", "max_year")
     return (
-        spread_join(either, covers, [*keys, "whole"], spread=1)
+        spread_join(either, covers, [*keys, "whole"], spread_by=("lat_e2", "lng_e2", "year"))
         .where(F.col("year").between(F.col("min_year"), F.col("max_year")) & (F.col("whole") | _inside_request()))
         .groupBy("request_id", "year").agg(F.sum("n").alias("n"))
     )

@@ -80,14 +80,17 @@ def tile_documents(pyramid: DataFrame, count: str = "n_points") -> DataFrame:
     """
     tile = [*TILE, *(["is_group"] if "is_group" in pyramid.columns else [])]
     placed = pyramid.select(*tile, "year", "cellid", count).repartition(*tile)
-    per_year = placed.groupBy(*tile, "year").agg(sorted_map("cellid", count).alias("cells"))
+    # a species that stands in two groups has two rows for a cell; the document holds their sum
+    summed = placed.groupBy(*tile, "year", "cellid").agg(F.sum(count).alias(count))
+    per_year = summed.groupBy(*tile, "year").agg(sorted_map("cellid", count).alias("cells"))
     return per_year.groupBy(*tile).agg(F.to_json(sorted_map_of_maps("year", "cells")).alias("json"))
 
 
 def point_tile_features(trends: DataFrame, zooms: Sequence[int]) -> DataFrame:
     """One row per point trend and zoom: its tile and its whole pixel within the tile.
 
-    The tile is the one whose half-open pixel range holds the point, so no tile ever scans the data.
+    The tile is the one whose half-open pixel range holds the point, so no tile ever scans the data.  A point on longitude
+    180 belongs to the last pixel of the last tile.
     """
     lat, lng = F.col("lat_e2") / F.lit(100.0), F.col("lng_e2") / F.lit(100.0)
     placed = (
@@ -95,7 +98,7 @@ def point_tile_features(trends: DataFrame, zooms: Sequence[int]) -> DataFrame:
         .withColumns({"_wx": mercator.pixel_x(lng, 0), "_wy": mercator.pixel_y(lat, 0)})
         .withColumn("z", F.explode(F.array(*[F.lit(z) for z in zooms])))
         .withColumns({
-            "_px": F.col("_wx") * F.pow(F.lit(2.0), F.col("z")),
+            "_px": F.least(F.col("_wx") * F.pow(F.lit(2.0), F.col("z")), S.TILE_SIZE * F.pow(F.lit(2.0), F.col("z")) - 1),
             "_py": F.col("_wy") * F.pow(F.lit(2.0), F.col("z")),
         })
     )

@@ -432,8 +432,8 @@ FROM series WINDOW w AS (PARTITION BY request_id)""",
 ends AS (
   SELECT *, slope * min_year + intercept AS a, slope * (max_year - 1) + intercept AS b FROM fit)
 SELECT request_id, specieskey, floor(1000000 * slope + 0.5) / CAST(100 AS DOUBLE) AS rate_per_10k,
-       CASE WHEN a > 1e-10 AND b > 1e-10 THEN CAST(floor(100 * b / a + 0.5) AS BIGINT) END AS level_ratio_pct,
-       CASE WHEN a > 1e-10 AND b > 1e-10 THEN CAST(floor(100 * b / a + 0.5) AS BIGINT) - 100 END AS change_pct,
+       CASE WHEN a > 1e-10 * greatest(abs(a), abs(b)) AND b > 1e-10 * greatest(abs(a), abs(b)) THEN CAST(floor(100 * b / a + 0.5) AS BIGINT) END AS level_ratio_pct,
+       CASE WHEN a > 1e-10 * greatest(abs(a), abs(b)) AND b > 1e-10 * greatest(abs(a), abs(b)) THEN CAST(floor(100 * b / a + 0.5) AS BIGINT) - 100 END AS change_pct,
        CASE WHEN slope < 0 THEN 'decline' WHEN slope >= 0 THEN 'no decline' END AS direction
 FROM ends""",
     "slope_classes": HEX_FIT + f""",

@@ -23,11 +23,7 @@ HEX_RADIUS_PER_SIZE = 16
 HEX_SIZE_CHOICES = (3, 4, 5, 6, 7, 8, 9, 10, 15, 25)
 TILE_DRAW_BORDER = 8
 
-YEAR_SPAN_SHOWN = (1968, 2002)
-YEAR_SPAN_FULL = (1900, 2016)
-YEAR_THRESHOLD_FALLBACK = 2
 YEAR_THRESHOLD_DEFAULT = 15
-YEAR_THRESHOLD_CHOICES = (1, 2, 5, 10, 15, 25)
 
 MIN_FIT_YEARS_PLACE = 3
 MIN_FIT_YEARS_BOX = 2
@@ -42,5 +38,5 @@ YEAR_ORIGIN = 2000
 # Tasks over which one crowded join key is spread, and copies made of the small side.  See operators/joins.py.
 JOIN_SPREAD = 8
 
-# A fitted share this close to zero is zero: what is left of it is floating-point noise.
+# A line end this small beside the line's other end is zero: what is left of it is floating-point noise.
 LEVEL_NOISE = 1e-10

@@ -126,10 +126,10 @@ def test_boxes_equal_brute_force(spark):
     assert not got
 
 
-def test_point_on_the_date_line_is_past_the_last_tile(spark):
+def test_point_on_the_date_line_is_in_the_last_tile(spark):
     df = spark.createDataFrame([(0, 18000), (0, -18000)], "lat_e2 int, lng_e2 int")
     got = {r["lng_e2"]: (r["x"], r["local_x"]) for r in tiles.point_tile_features(df, (1,)).collect()}
-    assert got == {18000: (2, 0), -18000: (0, 0)}
+    assert got == {18000: (1, 4095), -18000: (0, 0)}
 
 
 def trend_row(spark, slope, intercept, own, group):
@@ -196,3 +196,18 @@ def test_places_merge_when_rounded(spark):
     df = occurrences(spark, {"decimallatitude": 10.004}, {"decimallatitude": 10.0}, {"decimallatitude": 10.005})
     got = {r["lat_e2"]: r["n"] for r in species_point_year(df).collect()}
     assert got == {1000: 2, 1001: 1}
+
+
+def test_level_of_a_rare_species(spark):
+    """Shares of 1e-12 have a level like any others."""
+    row = spark.createDataFrame([(1, 1e-13, 1e-13 * -1980.0)], "k int, slope double, intercept double")
+    got = charts.trend_summary(row, ["k"], F.lit(1990), F.lit(2011)).first()
+    assert (got["level_ratio_pct"], got["change_pct"]) == (300, 200)
+
+
+def test_tile_document_of_a_species_in_two_groups(spark):
+    rows = [(group, 3, 0, 0, 0, 1990, 4, 1) for group in (1, 2)]
+    pyramid = spark.createDataFrame(
+        rows, "orderkey int, specieskey int, z int, x long, y long, year int, cellid long, n_points long")
+    [doc] = tiles.tile_documents(pyramid).collect()
+    assert doc["json"] == '{"1990":{"4":2}}'
