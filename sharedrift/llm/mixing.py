@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 MAX_EPOCHS = 3  # a target stops at this many times its source's size
 BLOCK_WORDS = 1024
 SEED = 11
-SHUFFLE_GROUP = 16384  # documents ordered by one task; groups are ranges of the shuffling hash
+SHUFFLE_GROUP = 4096  # documents ordered by one task; groups are ranges of the shuffling hash
 SLOT_GROUP = 65536  # slots ranked by one task
 
 
@@ -91,7 +91,8 @@ def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     # rank within the source: slots in earlier groups, then order within the group
     counts = slots.groupBy("source", "_group").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_before", F.sum("_n").over(Window.partitionBy("source").orderBy("_group")) - F.col("_n")).drop("_n")
-    ranked = slots.alias("s").join(counts.alias("c"), F.expr("s.source <=> c.source AND s._group = c._group")).select(
+    # slots are listed from a few source rows, so their estimated size is far too small: joins with them are never broadcast
+    ranked = slots.hint("merge").alias("s").join(counts.hint("merge").alias("c"), F.expr("s.source <=> c.source AND s._group = c._group")).select(
         "s.*", "_before").withColumn("rank", F.col("_before") + F.row_number().over(
             Window.partitionBy("source", "_group").orderBy("slot")) - 1)
     return ranked.select("slot", "source", "rank", F.least(
@@ -133,7 +134,7 @@ def mix(sized: DataFrame, wanted: DataFrame, block_words: int = BLOCK_WORDS, see
     """The mix: (slot, source, doc_id, size, _at, taken), a row per slot and document piece; ``taken`` words of it."""
     slots, cut = schedule(wanted, block_words), blocks(shuffled(sized, wanted, seed), block_words)
     taken = F.least(F.col("_n"), F.col("words") - F.col("_first"))
-    return slots.alias("s").join(cut.alias("b"), F.expr("s.source <=> b.source AND s.rank = b.block")).select(
+    return slots.hint("merge").alias("s").join(cut.alias("b"), F.expr("s.source <=> b.source AND s.rank = b.block")).select(
         "s.slot", "s.source", "b.doc_id", "b.size", "b._at", taken.alias("taken")).filter("taken > 0")
 
 
