@@ -13,7 +13,10 @@ from sharedrift.operators.filters import in_box
 from sharedrift.operators.joins import spread_join
 from sharedrift.operators.trends import fit_shares, year_sums
 
-CELL_E2 = 500  # side of a cover cell in hundredths of a degree
+# Sides of the cover cells in hundredths of a degree, each a multiple of the next.  Single places are tested in cells of
+# the smallest side only, so no request meets more than 20 x 20 places of a cell.
+LEVELS_E2 = (500, 100, 20)
+EDGE_SPREAD = 4  # salts of the places of one edge cell
 
 
 def with_corners_ordered(requests: DataFrame) -> DataFrame:
@@ -23,65 +26,120 @@ def with_corners_ordered(requests: DataFrame) -> DataFrame:
     }).drop("lat_a", "lat_b", "lng_a", "lng_b")
 
 
-def _inside_request() -> Column:
-    return in_box(
-        F.col("lat_e2") / F.lit(100.0), F.col("lng_e2") / F.lit(100.0),
-        F.col("min_lat"), F.col("max_lat"), F.col("min_lng"), F.col("max_lng"),
-    )
+def _first_e2(side: Column, limit: float) -> Column:
+    """The smallest whole hundredth of a degree that lies on or above a box's lower side."""
+    low = F.greatest(side, F.lit(-limit))
+    near = F.ceil(low * 100)
+    return F.when((near - 1) / F.lit(100.0) >= low, near - 1).when(near / F.lit(100.0) < low, near + 1).otherwise(near)
 
 
-def _cover(low: Column, high: Column, limit: float) -> Column:
-    """Cover cells from one side of a box to the other, within the plottable world (so their number is bounded)."""
-    first = F.floor(F.greatest(low, F.lit(-limit)) * 100 / CELL_E2).cast("int")
-    last = F.floor(F.least(high, F.lit(limit)) * 100 / CELL_E2).cast("int")
-    return F.when(first <= last, F.sequence(first, last))
+def _last_e2(side: Column, limit: float) -> Column:
+    """The largest whole hundredth of a degree that lies on or below a box's upper side."""
+    high = F.least(side, F.lit(limit))
+    near = F.floor(high * 100)
+    return F.when((near + 1) / F.lit(100.0) <= high, near + 1).when(near / F.lit(100.0) > high, near - 1).otherwise(near)
 
 
 def _cell(cell_lat: Column, cell_lng: Column) -> Column:
-    """One integer per cover cell; -1, which no box covers, for a missing place."""
-    return F.coalesce((cell_lat + 1000) * 10000 + cell_lng + 1000, F.lit(-1))
+    """One integer per cover cell of a level; -1, which no box covers, for a missing place."""
+    return F.coalesce((cell_lat + 1000) * 10000 + cell_lng + 1000, F.lit(-1).cast("long"))
 
 
-def _covers(boxes: DataFrame) -> DataFrame:
-    """One row per request and grid cell its box touches; ``whole`` where the cell lies entirely inside."""
-    lat, lng = F.col("_cell_lat"), F.col("_cell_lng")
+def _cell_of_place(size: int) -> Column:
+    return _cell(F.floor(F.col("lat_e2") / size), F.floor(F.col("lng_e2") / size))
+
+
+def _range(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _frames() -> Column:
+    """The cover of a box: for each level the cells wholly inside it but in no larger one, then the cells its edge cuts.
+
+    Each is a rectangle of cells (rows, columns) with a rectangular hole, so its cells can be listed along the frame.
+    """
+    sides = {"r": ("_lat0", "_lat1"), "c": ("_lng0", "_lng1")}
+    parts, hole = [], None
+
+    def part(size: int, whole: bool, outer: dict[str, tuple[Column, Column]]) -> Column:
+        fields = [F.lit(size).alias("size"), F.lit(whole).alias("whole")]
+        for axis, (first, last) in outer.items():
+            fields += [first.alias(f"{axis}0"), last.alias(f"{axis}1")]
+        for axis in sides:  # a missing hole has no rows
+            low, high = (F.lit(1).cast("long"), F.lit(0).cast("long")) if hole is None else (
+                F.when(hole["some"], F.floor(hole[axis][0] / size)).otherwise(1),
+                F.when(hole["some"], F.floor((hole[axis][1] + 1) / size) - 1).otherwise(0))
+            fields += [low.alias(f"hole_{axis}0"), high.alias(f"hole_{axis}1")]
+        return F.struct(*fields)
+
+    for size in LEVELS_E2:
+        inside = {axis: (F.ceil(F.col(low) / size), F.floor((F.col(high) + 1) / size) - 1)
+                  for axis, (low, high) in sides.items()}
+        parts.append(part(size, True, inside))
+        hole = {axis: (first * size, (last + 1) * size - 1) for axis, (first, last) in inside.items()}
+        hole["some"] = (inside["r"][0] <= inside["r"][1]) & (inside["c"][0] <= inside["c"][1])
+    touched = {axis: (F.floor(F.col(low) / size), F.floor(F.col(high) / size)) for axis, (low, high) in sides.items()}
+    return F.array(*parts, part(size, False, touched))
+
 
-    def contained(cell: Column, low: str, high: str) -> Column:
-        start = cell * CELL_E2
-        return (start / F.lit(100.0) >= F.col(low)) & ((start + CELL_E2 - 1) / F.lit(100.0) <= F.col(high))
+def _covers(boxes: DataFrame) -> DataFrame:
+    """One row per request and cover cell: ``size``, ``cell``, and ``whole`` where the cell lies entirely inside the box.
 
+    The number of cells grows with a box's outline, not with its area; places beyond the plottable world have none.
+    """
+    sided = boxes.withColumns({
+        "_lat0": _first_e2(F.col("min_lat"), S.MAX_PLOT_LATITUDE), "_lat1": _last_e2(F.col("max_lat"), S.MAX_PLOT_LATITUDE),
+        "_lng0": _first_e2(F.col("min_lng"), S.MAX_PLOT_LONGITUDE),
+        "_lng1": _last_e2(F.col("max_lng"), S.MAX_PLOT_LONGITUDE),
+    }).where("_lat0 <= _lat1 AND _lng0 <= _lng1")
+    part, row = F.col("_part"), F.col("_row")
+    beside = F.concat(
+        _range(part["c0"], F.least(part["hole_c0"] - 1, part["c1"])),
+        _range(F.greatest(part["hole_c1"] + 1, part["c0"]), part["c1"]))
+    columns = F.when(row.between(part["hole_r0"], part["hole_r1"]), beside).otherwise(_range(part["c0"], part["c1"]))
     return (
-        boxes
-        .withColumn("_cell_lat", F.explode(_cover(F.col("min_lat"), F.col("max_lat"), S.MAX_PLOT_LATITUDE)))
-        .withColumn("_cell_lng", F.explode(_cover(F.col("min_lng"), F.col("max_lng"), S.MAX_PLOT_LONGITUDE)))
-        .withColumns({
-            "cell": _cell(lat, lng),
-            "whole": contained(lat, "min_lat", "max_lat") & contained(lng, "min_lng", "max_lng"),
-        })
-        .drop("_cell_lat", "_cell_lng")
+        sided.withColumn("_part", F.explode(_frames()))
+        .withColumn("_row", F.explode(_range(part["r0"], part["r1"])))
+        .withColumn("_column", F.explode(columns))
+        .withColumns({"size": part["size"], "whole": part["whole"], "cell": _cell(row, F.col("_column"))})
+        .drop("_part", "_row", "_column")
     )
 
 
+def met_in_cells(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> DataFrame:
+    """Requests joined with the counts of their cover cells, before the places of edge cells are tested."""
+    keys = [*subject, "size", "cell", "whole"]
+    levels = F.explode(F.array(*[
+        F.struct(F.lit(size).alias("size"), _cell_of_place(size).alias("cell")) for size in LEVELS_E2]))
+    sums = (
+        counts.select(*subject, "year", "n", levels.alias("_at"))
+        .groupBy(*subject, "_at.size", "_at.cell", "year").agg(F.sum("n").alias("n"))
+        .withColumns({"whole": F.lit(True), "_salt": F.lit(0).cast("long")})
+    )
+    places = counts.select(
+        *subject, F.lit(LEVELS_E2[-1]).alias("size"), _cell_of_place(LEVELS_E2[-1]).alias("cell"), "lat_e2", "lng_e2", "year", "n",
+        F.lit(False).alias("whole"), F.pmod(F.xxhash64("lat_e2", "lng_e2", "year"), F.lit(EDGE_SPREAD)).alias("_salt"))
+    salts = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.lit(EDGE_SPREAD - 1).cast("long")))
+    covers = _covers(boxes).select(
+        "request_id", *keys, "_lat0", "_lat1", "_lng0", "_lng1", "min_year", "max_year", F.explode(salts).alias("_salt"))
+    # an edge cell's places are salted; a whole cell has one row a year
+    return spread_join(places.unionByName(sums, allowMissingColumns=True), covers, [*keys, "_salt"], spread=1)
+
+
 def years_in_boxes(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> DataFrame:
     """Observations per request and year inside its box, for boxes of any size and number.
 
     ``subject`` names the keys a request shares with the counts: the group, or the group and species.  Boxes are
-    covered by grid cells and meet the data by an equi-join on subject and cell, so no request is ever compared with
-    places far from it.  A cell wholly inside its box takes counts already summed per cell and year; only cells on
-    the box's edge take single places and test them.
+    covered by grid cells of several sizes and meet the data by an equi-join on subject and cell.  A cell wholly inside
+    its box takes counts already summed per cell and year; only the smallest cells, where the box's edge cuts them, take
+    single places and test them.
     """
-    keys = [*subject, "cell"]
-    places = counts.withColumn("cell", _cell(
-        F.floor(F.col("lat_e2") / CELL_E2).cast("int"), F.floor(F.col("lng_e2") / CELL_E2).cast("int")))
-    cells = places.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
-    columns = [*keys, "lat_e2", "lng_e2", "year", "n"]
-    either = places.select(*columns, F.lit(False).alias("whole")).unionByName(
-        cells.withColumn("whole", F.lit(True)), allowMissingColumns=True)
-    covers = _covers(boxes).select(
-        "request_id", *keys, "whole", "min_lat", "max_lat", "min_lng", "max_lng", "min_year", "max_year")
+    inside = in_box(
+        F.col("lat_e2"), F.col("lng_e2"), F.col("_lat0"), F.col("_lat1"), F.col("_lng0"), F.col("_lng1"))
     return (
-        spread_join(either, covers, [*keys, "whole"], spread_by=("lat_e2", "lng_e2", "year"))
-        .where(F.col("year").between(F.col("min_year"), F.col("max_year")) & (F.col("whole") | _inside_request()))
+        met_in_cells(boxes, counts, subject)
+        .where(F.col("year").between(F.col("min_year"), F.col("max_year")) & (F.col("whole") | inside))
         .groupBy("request_id", "year").agg(F.sum("n").alias("n"))
     )
 

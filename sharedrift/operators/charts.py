@@ -48,17 +48,19 @@ def trend_summary(trends: DataFrame, keys: list[str], min_year: Column, max_year
     """Yearly rate per ten thousand, level at the axis end in percent of its start, and direction.
 
     The level is given only when both ends of the line are above zero, by more than the rounding noise of a line that
-    ends at zero exactly (relative to the larger end, so shares may be as small as they like); ``change_pct`` is the level less 100.
+    ends at zero exactly (relative to the larger end, so shares may be as small as they like); ``change_pct`` is the level less 100.  A slope
+    that is rounding noise beside the line's height counts as level, so no decline.
     """
     start, end = fitted(min_year), fitted(max_year - 1)
     noise = S.LEVEL_NOISE * F.greatest(F.abs(start), F.abs(end))
+    level = F.abs(F.col("slope")) <= S.SLOPE_NOISE * F.greatest(F.abs(start), F.abs(end))
     ratio = F.when((start > noise) & (end > noise), _half_up(end * 100 / start))
     return trends.select(
         *keys,
         (_half_up(F.col("slope") * 1000000) / F.lit(100.0)).alias("rate_per_10k"),
         ratio.alias("level_ratio_pct"),
         (ratio - 100).alias("change_pct"),
-        direction(F.col("slope")).alias("direction"),
+        direction(F.when(level, 0.0).otherwise(F.col("slope"))).alias("direction"),
     )
 
 

@@ -49,6 +49,11 @@ def species_point_year(clean: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
+def over_groups(counts: DataFrame) -> DataFrame:
+    """The same counts whatever the group, so a species that stands in two groups has one row per place and year."""
+    return counts.groupBy("specieskey", "lat_e2", "lng_e2", "year").agg(F.sum("n").alias("n"))
+
+
 def group_totals(counts: DataFrame, *place: str) -> DataFrame:
     """Whole-group observations per place and year, summed over the species counts."""
     return counts.groupBy("orderkey", *place, "year").agg(F.sum("n").alias("n"))

@@ -32,6 +32,11 @@ def species_year_maps(counts: DataFrame, place: tuple[str, ...], min_years: int
     return maps.where(F.size("species_seen") >= min_years) if min_years > 1 else maps
 
 
+def year_maps(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Year -> count per key.  ``counts``: one row per (keys, year)."""
+    return counts.groupBy(*keys).agg(sorted_map("year", "n").alias("species_seen"))
+
+
 def year_sums() -> list[Column]:
     x = (F.col("year") - S.YEAR_ORIGIN).cast("long")
     return [F.count("*").alias("group_years"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx")]

@@ -17,12 +17,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 HEX_ZOOMS = (1, 3)
 HEX_RADIUS = 80.0
+CLOSE_REQUESTS = 1_000_000_000  # added to the key of a supplier's second request
 HEX_MIN_YEARS = 2
 POINT_ZOOMS = (0, 1, 2, 3, 4, 5, 6, 7)
 PIXEL_ZOOM = 6
 RANGE = (1996, 2000)
 RANGE_MIN_YEARS = 2
-ALL_NAMES = "Supplier"
+NAME_PATTERN = "Supplier#%0_1"  # some of the names
+HEX_SIZE = 10
+READ_SPECIES = (1, 3, 7)
 DECIMALS = {"slope": 9, "intercept": 6, "significance": 6, "sse": 9, "intercept_stderr": 4, "mse": 9,
             "slope_stderr": 7}
 
@@ -42,14 +45,14 @@ def exact_points(spark: SparkSession, sf_dir: str, with_name: bool = False) -> D
 
 
 def box_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per supplier: a box placed by its key, corners in either order, years by its remainders."""
+    """Two requests per supplier: boxes placed by its key, corners in either order, years by its remainders."""
     key = F.col("s_suppkey")
     start_lat, start_lng = (key * 37 % 130 - 80).cast("double"), (key * 53 % 300 - 175).cast("double")
     height, width = (key % 5 * 10 + 15).cast("double"), (key % 7 * 10 + 20).cast("double")
     flip = key % 2 == 1
     suppliers = occurrence.star_table(spark, sf_dir, "supplier").join(
         occurrence.star_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return suppliers.select(
+    wide = suppliers.select(
         key.alias("request_id"),
         F.col("n_regionkey").cast("int").alias("orderkey"),
         key.cast("int").alias("specieskey"),
@@ -60,6 +63,15 @@ def box_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flip, 1996).otherwise(1995).alias("min_year"),
         F.when(key % 3 == 0, 2000).otherwise(2001).alias("max_year"),
     )
+    # and a small box around one of the places observed, its sides on whole hundredths of a degree
+    spot = key % 60
+    lat_e2, lng_e2 = spot * 7919 % 17800 - 8900, spot * 6133 % 36000 - 18000
+    close = suppliers.select(
+        (key + CLOSE_REQUESTS).alias("request_id"), F.col("n_regionkey").cast("int").alias("orderkey"),
+        key.cast("int").alias("specieskey"), ((lat_e2 - key % 3) / F.lit(100.0)).alias("lat_a"),
+        ((lng_e2 + key % 7 * 30) / F.lit(100.0)).alias("lng_a"), ((lat_e2 + key % 5 * 45) / F.lit(100.0)).alias("lat_b"),
+        ((lng_e2 - key % 4) / F.lit(100.0)).alias("lng_b"), F.lit(1992).alias("min_year"), F.lit(1999).alias("max_year"))
+    return wide.unionByName(close)
 
 
 def rounded(**decimals: int) -> list[Column]:
@@ -102,8 +114,8 @@ def snapshot_orc_round_trip(spark, sf_dir):
     """The snapshot written as ORC to the shared folder and read back with its declared schema."""
     path = tables.shared_folder(spark)
     tables.write_orc(occurrence.occurrence_snapshot(occurrence.occurrences_from_star(spark, sf_dir)), path)
-    return occurrence.read_occurrences(spark, path, "orc").groupBy("orderkey", "basisofrecord").agg(
-        F.count("*").alias("records"), F.count("decimallatitude").alias("located"))
+    return occurrence.read_occurrences(spark, path, "orc").withColumns({
+        c: F.round(c, 6) for c in ("decimallatitude", "decimallongitude")})
 
 
 def quality_filter_counts(spark, sf_dir):
@@ -116,6 +128,21 @@ def species_point_year_exact(spark, sf_dir):
         "orderkey", "specieskey", "year", *rounded(lat=6, lng=6), "count")
 
 
+def species_keyed_read(spark, sf_dir):
+    """Exact points stored in order of species, and read back for some species."""
+    path = tables.shared_folder(spark)
+    tables.write_parquet(exact_points(spark, sf_dir), path, ["specieskey", "lat", "lng"])
+    return filters.of_species(tables.read_points(spark, path), *READ_SPECIES).select(
+        "orderkey", "specieskey", "year", *rounded(lat=6, lng=6), "count")
+
+
+def points_compacted(spark, sf_dir):
+    """Exact points rewritten as few files and read back."""
+    path = tables.shared_folder(spark)
+    tables.compact(exact_points(spark, sf_dir), path)
+    return tables.read_points(spark, path).select("orderkey", "specieskey", "year", *rounded(lat=6, lng=6), "count")
+
+
 def species_point_year(spark, sf_dir):
     return counts.point_degrees(point_counts(spark, sf_dir))
 
@@ -138,7 +165,7 @@ def species_names(spark, sf_dir):
 
 
 def name_autocomplete(spark, sf_dir):
-    return names.autocomplete(names.species_names(clean(spark, sf_dir)), ALL_NAMES)
+    return names.autocomplete(names.species_names(clean(spark, sf_dir)), NAME_PATTERN)
 
 
 # Year maps and text -----------------------------------------------------------------------------------------------
@@ -152,7 +179,7 @@ def _lat() -> Column:
 
 
 def _species_maps(spark, sf_dir):
-    return trends.species_year_maps(point_counts(spark, sf_dir), ("lat_e2", "lng_e2"))
+    return trends.year_maps(counts.over_groups(point_counts(spark, sf_dir)), ["specieskey", "lat_e2", "lng_e2"])
 
 
 def _group_maps(spark, sf_dir):
@@ -213,20 +240,21 @@ def json_round_trip(spark, sf_dir):
 
 def species_group_concat(spark, sf_dir):
     """``year,species,group`` lists per point, where at least two of the asked years have data."""
-    per_species = point_counts(spark, sf_dir)
+    # the years are cut before both sides are derived, so both read one scan
+    per_species = filters.in_years(point_counts(spark, sf_dir), *RANGE)
     wide = counts.species_group_wide(per_species, counts.group_point_year(per_species))
     return (
-        filters.in_years(wide, *RANGE).groupBy("specieskey", "lat_e2", "lng_e2")
+        wide.groupBy("orderkey", "specieskey", "lat_e2", "lng_e2")
         .agg(features.joined_entries("year", "speciescount", "ordercount").alias("features"),
              F.count("year").alias("years"))
         .where(F.col("years") >= RANGE_MIN_YEARS)
-        .select("specieskey", _lng().alias("x"), _lat().alias("y"), "features")
+        .select("orderkey", "specieskey", _lng().alias("x"), _lat().alias("y"), "features")
     )
 
 
 def year_count_strings(spark, sf_dir):
     per_species = point_counts(spark, sf_dir)
-    species = per_species.groupBy("specieskey", "lat_e2", "lng_e2").agg(
+    species = counts.over_groups(per_species).groupBy("specieskey", "lat_e2", "lng_e2").agg(
         features.joined_entries("year", "n", between=":").alias("yearcounts"))
     group = counts.group_point_year(per_species).groupBy(*counts.GROUP_POINT).agg(
         features.joined_entries("year", "n", between=":").alias("yearcounts"))
@@ -253,6 +281,12 @@ def species_point_trend(spark, sf_dir):
         *trend_columns("orderkey", "specieskey", "lat", "lng"))
 
 
+def species_point_trend_window(spark, sf_dir):
+    """Trends over a span of years, of species seen in enough of them."""
+    found = trends.point_trends(point_counts(spark, sf_dir), years=RANGE, min_species_years=RANGE_MIN_YEARS)
+    return counts.point_degrees(found).select(*trend_columns("orderkey", "specieskey", "lat", "lng"))
+
+
 def yearly_shares(spark, sf_dir):
     rows = trends.yearly_shares(point_counts(spark, sf_dir), ("lat_e2", "lng_e2"))
     return counts.point_degrees(rows).select(
@@ -268,6 +302,13 @@ def hex_trend(spark, sf_dir):
         *trend_columns("orderkey", "specieskey", "z", "hex_c", "hex_k", "hex_id"))
 
 
+def hex_trend_window(spark, sf_dir):
+    """The same in hexagons of a size the user chose."""
+    found = hexes.hex_trends(
+        point_counts(spark, sf_dir), HEX_ZOOMS, hexagons.radius_of_size(HEX_SIZE), years=RANGE, min_species_years=RANGE_MIN_YEARS)
+    return found.select(*trend_columns("orderkey", "specieskey", "z", "hex_c", "hex_k", "hex_id"))
+
+
 def bbox_trend(spark, sf_dir):
     return all_box_trends(spark, sf_dir).select(*trend_columns("request_id", "orderkey", "specieskey"))
 
@@ -276,7 +317,7 @@ def trend_by_name(spark, sf_dir):
     # two scans on purpose: the name pattern is pushed into the first, the second needs every species of the group
     base = clean(spark, sf_dir)
     found = names.trends_by_name(
-        names.species_names(base), ALL_NAMES, trends.species_trends(counts.species_years(base)))
+        names.species_names(base), NAME_PATTERN, trends.species_trends(counts.species_years(base)))
     return found.select("specieskey", "scientificname", "orderkey", "group_years",
                         *rounded(slope=9, significance=6))
 
@@ -377,8 +418,7 @@ def tile_table_round_trip(spark, sf_dir):
     """Tile documents written as the zoom-partitioned serving table and read back."""
     path = tables.shared_folder(spark)
     tables.write_tiles(tiles.tile_documents(tile_pyramid(spark, sf_dir)), path)
-    return tables.read_tiles(spark, path).groupBy("z", "specieskey").agg(
-        F.count("*").alias("tiles"), F.sum(F.length("json")).alias("json_chars"))
+    return tables.read_tiles(spark, path)
 
 
 def point_tile_features(spark, sf_dir):
@@ -429,6 +469,7 @@ QUERIES: dict[str, Query] = {
         trend_by_name, trend_significance, ols_sums_of_squares, ols_diagnostics, cell_year_counts, cell_slopes,
         grid10_counts, grid10_slopes, mllib_mse, mercator_tiles, mercator_pixels, tile_pyramid,
         pyramid_with_group, tile_json, tile_table_round_trip, point_tile_features, hex_tile_features, chart_series,
-        trend_summary, slope_classes,
+        trend_summary, slope_classes, species_keyed_read, points_compacted, species_point_trend_window,
+        hex_trend_window,
     )
 }

@@ -46,7 +46,8 @@ def read_group_point_year(spark: SparkSession, prepared: str) -> DataFrame:
 def export_text(spark: SparkSession, prepared: str, out: str) -> None:
     """The tab-delimited exchange files: species features, group features, names."""
     lng, lat = F.col("lng_e2") / F.lit(100.0), F.col("lat_e2") / F.lit(100.0)
-    species = trends.species_year_maps(read_species_point_year(spark, prepared), ("lat_e2", "lng_e2"))
+    species = trends.year_maps(
+        counts.over_groups(read_species_point_year(spark, prepared)), ["specieskey", "lat_e2", "lng_e2"])
     group = trends.group_year_maps(read_group_point_year(spark, prepared), list(counts.GROUP_POINT))
     tables.write_tsv(tables.feature_text(species, ["specieskey"], lng, lat, F.col("species_seen")), f"{out}/species")
     tables.write_tsv(tables.feature_text(group, ["orderkey"], lng, lat, F.col("group_counts")), f"{out}/group")

@@ -132,38 +132,57 @@ PX = f"({LNG} + 180) / 360 * 4096 * (2 ** z)"
 PY = f"""(0.5 - ln((1 + sin(radians({LAT}))) / (1 - sin(radians({LAT})))) / (4 * pi())) * 4096 * (2 ** z)"""
 R = C.HEX_RADIUS
 
-# every centre within two columns and rows of the place; the nearest wins
-HEX = SPY + f""",
-places AS (SELECT DISTINCT lat_e2, lng_e2 FROM spy),
+
+def hex_cte(radius: float, source: str = "spy") -> str:
+    """Hexagon counts; every centre within two columns and rows of the place is tried, and the nearest wins."""
+    return f""",
+places AS (SELECT DISTINCT lat_e2, lng_e2 FROM {source}),
 zooms AS (SELECT unnest({list(C.HEX_ZOOMS)}) AS z),
 pixels AS (SELECT lat_e2, lng_e2, z, {PX} AS px, {PY} AS py FROM places, zooms),
 candidates AS (
-  SELECT lat_e2, lng_e2, z, px, py, c, floor(py / (sqrt(3.0) * {R})) + dk AS k,
-         {R} + 1.5 * {R} * c AS cx
-  FROM (SELECT *, CAST(floor(px / (1.5 * {R})) AS BIGINT) + unnest(range(-2, 3)) AS c FROM pixels),
+  SELECT lat_e2, lng_e2, z, px, py, c, floor(py / (sqrt(3.0) * {radius})) + dk AS k,
+         {radius} + 1.5 * {radius} * c AS cx
+  FROM (SELECT *, CAST(floor(px / (1.5 * {radius})) AS BIGINT) + unnest(range(-2, 3)) AS c FROM pixels),
        (SELECT unnest(range(-2, 3)) AS dk)),
 centred AS (
-  SELECT *, sqrt(3.0) * {R} * (k + 0.5 + CASE WHEN c % 2 <> 0 THEN 0.5 ELSE 0 END) AS cy FROM candidates),
+  SELECT *, sqrt(3.0) * {radius} * (k + 0.5 + CASE WHEN c % 2 <> 0 THEN 0.5 ELSE 0 END) AS cy FROM candidates),
 nearest AS (
   SELECT lat_e2, lng_e2, z, arg_min(c, (px - cx) ** 2 + (py - cy) ** 2) AS hex_c,
          CAST(arg_min(k, (px - cx) ** 2 + (py - cy) ** 2) AS BIGINT) AS hex_k
   FROM centred GROUP BY ALL),
 hy AS (
   SELECT orderkey, specieskey, CAST(z AS INTEGER) AS z, hex_c, hex_k, year, CAST(sum(n) AS BIGINT) AS n
-  FROM spy JOIN nearest USING (lat_e2, lng_e2) GROUP BY ALL)"""
+  FROM {source} JOIN nearest USING (lat_e2, lng_e2) GROUP BY ALL)"""
+
 
+HEX = SPY + hex_cte(R)
 HEX_KEYS = "orderkey, specieskey, z, hex_c, hex_k"
-HEX_FIT = HEX + filled_cte("z, hex_c, hex_k", C.HEX_MIN_YEARS, "hy") + stats_cte(HEX_KEYS, 3) + f""",
+
+
+def hex_fit_cte(radius: float, min_years: int) -> str:
+    return filled_cte("z, hex_c, hex_k", min_years, "hy") + stats_cte(HEX_KEYS, 3) + f""",
 hexes AS (
-  SELECT *, {R} + 1.5 * {R} * hex_c AS cx,
-         sqrt(3.0) * {R} * (hex_k + 0.5 + CASE WHEN hex_c % 2 <> 0 THEN 0.5 ELSE 0 END) AS cy FROM fit),
+  SELECT *, {radius} + 1.5 * {radius} * hex_c AS cx,
+         sqrt(3.0) * {radius} * (hex_k + 0.5 + CASE WHEN hex_c % 2 <> 0 THEN 0.5 ELSE 0 END) AS cy FROM fit),
 named AS (
   SELECT *, CAST(round_even(90 - 360 * atan(exp(-(0.5 - cy / (4096 * 2 ** z)) * 2 * pi())) / pi(), 3) + 0.0
                  AS DOUBLE)::VARCHAR || ',' ||
             CAST(round_even(360 * (cx / (4096 * 2 ** z) - 0.5), 3) + 0.0 AS DOUBLE)::VARCHAR AS hex_id
   FROM hexes)"""
 
-BOX_FIT = GPY + """,
+
+HEX_FIT = HEX + hex_fit_cte(R, C.HEX_MIN_YEARS)
+HEX_SELECT = f"""
+SELECT {HEX_KEYS}, hex_id, species_years, cnt AS group_years, {stat_columns()},
+       CASE WHEN cnt >= 3 THEN all_counts ELSE seen_counts END AS species_counts, group_counts FROM named"""
+
+WINDOW = SPY + f""",
+windowed AS (SELECT * FROM spy WHERE year BETWEEN {C.RANGE[0]} AND {C.RANGE[1]})"""
+POINT_WINDOW_FIT = WINDOW + filled_cte("lat_e2, lng_e2", C.RANGE_MIN_YEARS, "windowed") + stats_cte(
+    "orderkey, specieskey, lat_e2, lng_e2", 3)
+HEX_WINDOW_FIT = WINDOW + hex_cte(16.0 * C.HEX_SIZE, "windowed") + hex_fit_cte(16.0 * C.HEX_SIZE, C.RANGE_MIN_YEARS)
+
+BOX_FIT = GPY + f""",
 requests AS (
   SELECT s_suppkey AS request_id, CAST(s_suppkey AS INTEGER) AS specieskey,
          CAST(s_suppkey * 37 % 130 - 80 AS DOUBLE) AS min_lat,
@@ -172,7 +191,13 @@ requests AS (
          CAST(s_suppkey * 53 % 300 - 175 + s_suppkey % 7 * 10 + 20 AS DOUBLE) AS max_lng,
          CASE WHEN s_suppkey % 2 = 1 THEN 1996 ELSE 1995 END AS min_year,
          CASE WHEN s_suppkey % 3 = 0 THEN 2000 ELSE 2001 END AS max_year
-  FROM supplier),
+  FROM supplier
+  UNION ALL
+  SELECT s_suppkey + {C.CLOSE_REQUESTS}, CAST(s_suppkey AS INTEGER), (lat_e2 - s_suppkey % 3) / CAST(100 AS DOUBLE),
+         (lat_e2 + s_suppkey % 5 * 45) / CAST(100 AS DOUBLE), (lng_e2 - s_suppkey % 4) / CAST(100 AS DOUBLE),
+         (lng_e2 + s_suppkey % 7 * 30) / CAST(100 AS DOUBLE), 1992, 1999
+  FROM (SELECT s_suppkey, s_suppkey % 60 * 7919 % 17800 - 8900 AS lat_e2, s_suppkey % 60 * 6133 % 36000 - 18000 AS lng_e2
+        FROM supplier)),
 answered AS (
   SELECT DISTINCT r.*, s.orderkey FROM requests r JOIN spy s USING (specieskey)
   WHERE s.year BETWEEN r.min_year AND r.max_year),
@@ -258,7 +283,8 @@ SELECTS: dict[str, str] = {
 SELECT * REPLACE (round(decimallatitude, 6) AS decimallatitude, round(decimallongitude, 6) AS decimallongitude)
 FROM occ""",
     "snapshot_orc_round_trip": OCC + """
-SELECT orderkey, basisofrecord, count(*) AS records, count(decimallatitude) AS located FROM occ GROUP BY ALL""",
+SELECT * REPLACE (round(decimallatitude, 6) AS decimallatitude, round(decimallongitude, 6) AS decimallongitude)
+FROM occ""",
     "quality_filter_counts": CLEAN + """
 SELECT orderkey, year, basisofrecord, count(*) AS records FROM clean GROUP BY ALL""",
     "species_point_year_exact": EXACT + """
@@ -279,7 +305,7 @@ FROM spy s JOIN gpy g ON s.orderkey = g.orderkey AND s.lat_e2 = g.lat_e2 AND s.l
 SELECT scientificname, specieskey, count(year) AS records FROM clean WHERE specieskey = taxonkey
 GROUP BY ALL HAVING count(year) > 1""",
     "name_autocomplete": CLEAN + f"""
-SELECT specieskey, scientificname FROM clean WHERE specieskey = taxonkey AND scientificname LIKE '{C.ALL_NAMES}%'
+SELECT specieskey, scientificname FROM clean WHERE specieskey = taxonkey AND scientificname LIKE '{C.NAME_PATTERN}%'
 GROUP BY ALL HAVING count(year) > 1 ORDER BY scientificname, specieskey LIMIT 25""",
     "species_year_maps": SPY + f"""
 SELECT specieskey, 'POINT(' || ({LNG}) || ' ' || ({LAT}) || ')' AS geom, {json_map("year", "n")} AS yearcounts
@@ -300,12 +326,12 @@ SELECT specieskey, lat_e2, lng_e2, {json_map("year", "n")} AS text, count(*) AS
        CAST(sum(n) AS BIGINT) AS records
 FROM spy GROUP BY specieskey, lat_e2, lng_e2""",
     "species_group_concat": GPY + f"""
-SELECT s.specieskey, s.lng_e2 / CAST(100 AS DOUBLE) AS x, s.lat_e2 / CAST(100 AS DOUBLE) AS y,
+SELECT s.orderkey, s.specieskey, s.lng_e2 / CAST(100 AS DOUBLE) AS x, s.lat_e2 / CAST(100 AS DOUBLE) AS y,
        string_agg(s.year || ',' || s.n || ',' || g.n, ',' ORDER BY s.year) AS features
 FROM spy s JOIN gpy g ON s.orderkey = g.orderkey AND s.lat_e2 = g.lat_e2 AND s.lng_e2 = g.lng_e2
  AND s.year = g.year
 WHERE s.year BETWEEN {_lo} AND {_hi}
-GROUP BY s.specieskey, s.lat_e2, s.lng_e2 HAVING count(s.year) >= {C.RANGE_MIN_YEARS}""",
+GROUP BY s.orderkey, s.specieskey, s.lat_e2, s.lng_e2 HAVING count(s.year) >= {C.RANGE_MIN_YEARS}""",
     "year_count_strings": GPY + """
 SELECT 'species' AS level, specieskey AS key, lat_e2, lng_e2,
        string_agg(year || ':' || n, ',' ORDER BY year) AS yearcounts FROM spy GROUP BY specieskey, lat_e2, lng_e2
@@ -323,16 +349,23 @@ SELECT orderkey, specieskey, {LAT} AS lat, {LNG} AS lng, year, n AS species_n, g
        round(n / CAST(g AS DOUBLE), 9) + 0.0 AS share FROM filled""",
     "hex_year_counts": HEX + """
 SELECT * FROM hy""",
-    "hex_trend": HEX_FIT + f"""
-SELECT {HEX_KEYS}, hex_id, species_years, cnt AS group_years, {stat_columns()},
-       CASE WHEN cnt >= 3 THEN all_counts ELSE seen_counts END AS species_counts, group_counts FROM named""",
+    "hex_trend": HEX_FIT + HEX_SELECT,
+    "hex_trend_window": HEX_WINDOW_FIT + HEX_SELECT,
+    "species_point_trend_window": POINT_WINDOW_FIT + trend_select(
+        f"orderkey, specieskey, {LAT} AS lat, {LNG} AS lng"),
+    "species_keyed_read": EXACT + f"""
+SELECT orderkey, specieskey, year, round(lat, 6) + 0.0 AS lat, round(lng, 6) + 0.0 AS lng, "count"
+FROM exact_points WHERE specieskey IN {C.READ_SPECIES}""",
+    "points_compacted": EXACT + """
+SELECT orderkey, specieskey, year, round(lat, 6) + 0.0 AS lat, round(lng, 6) + 0.0 AS lng, "count"
+FROM exact_points""",
     "bbox_trend": BOX_FIT + trend_select("request_id, orderkey, specieskey"),
     "trend_by_name": SPECIES_FIT + f""",
 names AS (
   SELECT scientificname, specieskey FROM clean WHERE specieskey = taxonkey GROUP BY ALL HAVING count(year) > 1)
 SELECT specieskey, scientificname, orderkey, cnt AS group_years, round(slope, 9) + 0.0 AS slope,
        round(significance, 6) + 0.0 AS significance
-FROM names JOIN fit USING (specieskey) WHERE scientificname LIKE '{C.ALL_NAMES}%'""",
+FROM names JOIN fit USING (specieskey) WHERE scientificname LIKE '{C.NAME_PATTERN}%'""",
     "trend_significance": SPECIES_FIT + """
 SELECT orderkey, specieskey, cnt AS group_years, round(slope, 9) + 0.0 AS slope,
        round(slope_stderr, 9) + 0.0 AS slope_stderr, round(significance, 9) + 0.0 AS significance FROM fit""",
@@ -395,7 +428,7 @@ SELECT * FROM flagged""",
     "tile_json": PYRAMID + documents("flagged", "specieskey, z, x, y, is_group") + """
 SELECT * FROM docs""",
     "tile_table_round_trip": PYRAMID + documents("pyramid", "specieskey, z, x, y") + """
-SELECT z, specieskey, count(*) AS tiles, CAST(sum(length("json")) AS BIGINT) AS json_chars FROM docs GROUP BY ALL""",
+SELECT * FROM docs""",
     "point_tile_features": POINT_FIT + f""",
 placed AS (
   SELECT orderkey, specieskey, lat_e2, lng_e2, CAST(z AS INTEGER) AS z, slope, significance, {PX} AS px, {PY} AS py
@@ -434,7 +467,8 @@ ends AS (
 SELECT request_id, specieskey, floor(1000000 * slope + 0.5) / CAST(100 AS DOUBLE) AS rate_per_10k,
        CASE WHEN a > 1e-10 * greatest(abs(a), abs(b)) AND b > 1e-10 * greatest(abs(a), abs(b)) THEN CAST(floor(100 * b / a + 0.5) AS BIGINT) END AS level_ratio_pct,
        CASE WHEN a > 1e-10 * greatest(abs(a), abs(b)) AND b > 1e-10 * greatest(abs(a), abs(b)) THEN CAST(floor(100 * b / a + 0.5) AS BIGINT) - 100 END AS change_pct,
-       CASE WHEN slope < 0 THEN 'decline' WHEN slope >= 0 THEN 'no decline' END AS direction
+       CASE WHEN slope < -1e-13 * greatest(abs(a), abs(b)) THEN 'decline' WHEN slope IS NOT NULL THEN 'no decline' END
+         AS direction
 FROM ends""",
     "slope_classes": HEX_FIT + f""",
 s AS (SELECT {HEX_KEYS}, round(slope, 9) + 0.0 AS slope FROM named)

@@ -40,3 +40,6 @@ JOIN_SPREAD = 8
 
 # A line end this small beside the line's other end is zero: what is left of it is floating-point noise.
 LEVEL_NOISE = 1e-10
+
+# A yearly change this small beside the line's height is zero, for the same reason: the line has no direction of its own.
+SLOPE_NOISE = 1e-13

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sharedrift import schemas
 from sharedrift import settings as S
 from sharedrift.operators import boxes, charts, filters, hexes, learning, names, tiles, trends
-from sharedrift.operators.counts import GROUP_POINT, group_point_year, species_point_year
+from sharedrift.operators.counts import GROUP_POINT, group_point_year, over_groups, species_point_year
 from sharedrift.functions import features
 
 GOOD = dict(orderkey=797, specieskey=1, taxonkey=1, decimallatitude=10.0, decimallongitude=20.0,
@@ -96,6 +96,63 @@ def box_brute_force(counts, request):
     return {y: own.get(y, 0) for y in group}, group, len(own)
 
 
+def test_small_boxes_on_dense_places(spark):
+    """Places next to each other, boxes of 0.01 to 2 degrees with sides on and between whole hundredths."""
+    rng = np.random.default_rng(4)
+    cells = {(0, int(s), int(a), int(b), int(y)) for s, a, b, y in zip(
+        rng.integers(0, 3, 6000), rng.integers(-130, 131, 6000), rng.integers(-130, 131, 6000), rng.integers(1990, 1995, 6000))}
+    counts = [(*c, int(rng.integers(1, 5))) for c in sorted(cells)]
+    requests = []
+    for i in range(120):
+        a, b = (int(x) for x in rng.integers(-120, 100, 2))
+        h, w = (int(x) for x in rng.choice([0, 1, 3, 19, 20, 21, 99, 100, 200], 2))
+        shift = (0, 0.004)[i % 2]
+        requests.append((i, 0, i % 3, a / 100 + shift, b / 100 - shift, (a + h) / 100 + shift, (b + w) / 100, 1990, 1994))
+    got = {r["request_id"]: r for r in boxes.box_trends(
+        spark.createDataFrame(counts, SCHEMA), spark.createDataFrame(requests, schemas.BOX_REQUEST)).collect()}
+    assert len(got) == len(requests)
+    for request in requests:
+        row = got[request[0]]
+        assert (row["species_counts"], row["group_counts"], row["species_years"]) == box_brute_force(counts, request)
+
+
+def test_box_joins_grow_with_their_answers(spark):
+    """10,000 places in one degree: a small box meets the places of the 0.2-degree cells it cuts, a large one meets sums."""
+    places = spark.range(10_000).select(
+        F.lit(0).alias("orderkey"), F.lit(1).alias("specieskey"), (F.col("id") / 100).cast("int").alias("lat_e2"),
+        (F.col("id") % 100).cast("int").alias("lng_e2"), F.lit(1990).alias("year"), F.lit(1).cast("long").alias("n"))
+
+    def met(rows):
+        requests = boxes.with_corners_ordered(spark.createDataFrame(rows, schemas.BOX_REQUEST))
+        return boxes.met_in_cells(requests, places, ["orderkey", "specieskey"]).count()
+
+    small = [(i, 0, 1, i % 90 / 100, i % 80 / 100, i % 90 / 100 + 0.01, i % 80 / 100 + 0.01, 1990, 1990) for i in range(300)]
+    assert met(small) <= 300 * 4 * 400 < 300 * 10_000
+    assert met([(0, 0, 1, 0.0, 0.0, 0.995, 0.995, 1990, 1990)]) == 1  # the whole degree: one sum
+    assert met([(0, 0, 1, -85.0, -180.0, 85.0, 180.0, 1990, 1990)]) == 1
+
+
+def test_covers_tile_a_box_once(spark):
+    """Every place of a box lies in exactly one of its cover cells."""
+    rows = [(0, 0, 1, -7.31, 3.02, 9.47, 20.0, 1, 2), (1, 0, 1, 0.0, 0.0, 0.0, 0.0, 1, 2), (2, 0, 1, -0.07, -0.2, 0.19, 0.19, 1, 2)]
+    found = boxes._covers(boxes.with_corners_ordered(spark.createDataFrame(rows, schemas.BOX_REQUEST))).collect()
+    for rid, _, _, a, b, c, d, _, _ in rows:
+        lat, lng = (np.arange(round(x * 100), round(y * 100) + 1) for x, y in ((a, c), (b, d)))
+        seen = np.zeros((len(lat), len(lng)), dtype=int)
+        for r in (r for r in found if r["request_id"] == rid):
+            row, column = r["cell"] // 10000 - 1000, r["cell"] % 10000 - 1000
+            inside = np.outer(lat // r["size"] == row, lng // r["size"] == column)
+            assert inside.any() and (not r["whole"] or inside.sum() == r["size"] ** 2)
+            seen += inside
+        assert (seen == 1).all()
+
+
+def test_a_species_in_two_groups_has_one_year_map(spark):
+    rows = [(1, 5, 0, 0, 1990, 2), (2, 5, 0, 0, 1990, 3), (1, 5, 0, 0, 1991, 1)]
+    maps = trends.year_maps(over_groups(spark.createDataFrame(rows, SCHEMA)), ["specieskey", "lat_e2", "lng_e2"])
+    assert [r["species_seen"] for r in maps.collect()] == [{1990: 5, 1991: 1}]
+
+
 def test_boxes_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     cells = {(int(s) % 2, int(s), int(a), int(b), int(y)) for s, a, b, y in zip(
@@ -163,6 +220,12 @@ def test_level_of_a_line_that_starts_at_zero(spark):
     assert charts.trend_summary(row, ["k"], F.lit(1995), F.lit(2001)).first()["level_ratio_pct"] is None
 
 
+@pytest.mark.parametrize("slope, direction", [(-1e-19, "no decline"), (1e-19, "no decline"), (-1e-9, "decline")])
+def test_direction_of_a_line_that_is_flat_but_for_rounding(spark, slope, direction):
+    row = trend_row(spark, slope, 0.3, {2000: 1}, {2000: 1})
+    assert charts.trend_summary(row, ["k"], F.lit(1995), F.lit(2001)).first()["direction"] == direction
+
+
 def test_slope_classes(spark):
     cases = [(0.01, 0), (0.0008, 0), (0.00079, 1), (0.0006, 1), (0.0004, 2), (0.0002, 3), (0.0, 4), (-1e-9, 5),
              (-0.0002, 5), (-0.0004, 6), (-0.0006, 7), (-0.0008, 8), (-0.00081, 9), (-1.0, 9), (None, None)]
