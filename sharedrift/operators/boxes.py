@@ -14,9 +14,9 @@ from sharedrift.operators.joins import spread_join
 from sharedrift.operators.trends import fit_shares, year_sums
 
 # Sides of the cover cells in hundredths of a degree, each a multiple of the next.  Single places are tested in cells of
-# the smallest side only, so no request meets more than 20 x 20 places of a cell.
+# the smallest side only, so no key of the join has more than 20 x 20 places: a crowded species or place is split by cell,
+# and the join needs no salt (and no copies of the many cover cells).
 LEVELS_E2 = (500, 100, 20)
-EDGE_SPREAD = 4  # salts of the places of one edge cell
 
 
 def with_corners_ordered(requests: DataFrame) -> DataFrame:
@@ -114,17 +114,14 @@ def met_in_cells(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> Dat
     sums = (
         counts.select(*subject, "year", "n", levels.alias("_at"))
         .groupBy(*subject, "_at.size", "_at.cell", "year").agg(F.sum("n").alias("n"))
-        .withColumns({"whole": F.lit(True), "_salt": F.lit(0).cast("long")})
+        .withColumn("whole", F.lit(True))
     )
     places = counts.select(
         *subject, F.lit(LEVELS_E2[-1]).alias("size"), _cell_of_place(LEVELS_E2[-1]).alias("cell"), "lat_e2", "lng_e2", "year", "n",
-        F.lit(False).alias("whole"), F.pmod(F.xxhash64("lat_e2", "lng_e2", "year"), F.lit(EDGE_SPREAD)).alias("_salt"))
-    salts = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.lit(EDGE_SPREAD - 1).cast("long")))
+        F.lit(False).alias("whole"))
     covers = _covers(boxes).select(
-        "request_id", *keys, "_lat0", "_lat1", "_lng0", "_lng1", "min_year", "max_year", F.explode(salts).alias("_salt"))
-    # an edge cell's places are salted; a whole cell has one row a year
-    return spread_join(places.unionByName(sums, allowMissingColumns=True), covers, [*keys, "_salt"], spread=1)
+        "request_id", *keys, "_lat0", "_lat1", "_lng0", "_lng1", "min_year", "max_year")
+    return spread_join(places.unionByName(sums, allowMissingColumns=True), covers, keys, spread=1)
 
 
 def years_in_boxes(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sharedrift import schemas
 from sharedrift.operators import trends
 from sharedrift.plans import catalogue
 
@@ -62,8 +63,8 @@ def test_a_crowded_place_is_split(spark):
             spark.conf.set(k, v)
 
 
-def test_a_crowded_species_is_split_before_its_boxes_are_summed(spark):
-    """The join of places with requests is salted, so the sums per request are combined after it."""
+def test_a_crowded_species_is_split_by_the_cells_of_its_boxes(spark):
+    """The joins of places with requests: keys hold cell and cell size, and no key holds more than 20 x 20 places."""
     from sharedrift.operators import boxes
 
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -73,6 +74,14 @@ def test_a_crowded_species_is_split_before_its_boxes_are_summed(spark):
             catalogue.point_counts(spark, SMALL), catalogue.box_requests(spark, SMALL)
         )._jdf.queryExecution().executedPlan().toString()
         joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "cell#" in line]
-        assert joins and all("_salt" in line for line in joins)
+        assert joins and all("size#" in line and "whole#" in line for line in joins)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    dense = spark.range(40_000).select(
+        F.lit(1).alias("orderkey"), F.lit(5).alias("specieskey"), (F.col("id") / 200).cast("int").alias("lat_e2"),
+        (F.col("id") % 200).cast("int").alias("lng_e2"), F.lit(2000).alias("year"), F.lit(1).cast("long").alias("n"))
+    strip = spark.createDataFrame(  # cuts every smallest cell of one column of cells
+        [(1, 1, 5, 0.0, 0.05, 1.99, 0.06, 2000, 2000)], schemas.BOX_REQUEST)
+    met = boxes.met_in_cells(boxes.with_corners_ordered(strip), dense, ["orderkey", "specieskey"])
+    most = met.groupBy("size", "cell", "whole").count().agg(F.max("count"), F.count("*")).first()
+    assert tuple(most) == (400, 10)
