@@ -19,7 +19,7 @@ def final_plan(df):
 
 @pytest.mark.parametrize("name", [
     "species_point_trend", "species_group_wide", "hex_trend", "bbox_trend", "chart_series", "tile_json",
-    "yearly_shares", "trend_significance", "year_count_strings",
+    "yearly_shares", "trend_significance", "year_count_strings", "species_group_concat",
 ])
 def test_one_scan_of_the_observations(spark, name):
     plan = final_plan(catalogue.QUERIES[name](spark, SMALL))
