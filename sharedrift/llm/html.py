@@ -13,12 +13,13 @@ Text: character references are decoded; white space inside a block becomes one s
 page order by one newline.
 
 Edge cases: null or empty html, and pages without text, give the empty text; elements left open or closed out of turn are
-read as browsers do (a new paragraph ends the last one, an unknown end tag is ignored); pages may be of any length and
-depth, as nothing recurses; repeated rows give repeated results; an empty table gives an empty result; other columns are
-kept, those named like an output are replaced.
+read as browsers do (a new paragraph ends the last one, an unknown end tag is ignored, a tag that the end of the page cuts
+off is dropped); pages may be of any length and depth, as nothing recurses; repeated rows give repeated results; an empty
+table gives an empty result; other columns are kept, those named like an output are replaced.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -49,7 +50,10 @@ STOPS = frozenset("ul ol dl table select body html article section div main".spl
 UNBROKEN = INLINE | RAW | (VOID - {"hr"}) | frozenset("button select template svg math object canvas audio video head".split())
 KEEPS_PARAGRAPH = INLINE | VOID | RAW | frozenset(["body", "html", "head", "button", "object", "svg", "math"])
 # --- end of fixed values --------------------------------------------------------------------------------------------
-TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*)>", re.S)
+TAG = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|"
+    # possessive, so every character is read once; a tag that never ends takes the rest of the page
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PARTS = re.compile(r"[a-z0-9]+")
 
@@ -61,6 +65,7 @@ class Page:
         self.parent, self.tag, self.skip = [0], [""], [False]
         self.texts: list[tuple[int, str | None]] = []  # text and the node it stands in; None where a block begins or ends
         self.opened = [0]
+        self.n_open: Counter[str] = Counter()  # by tag, so what isn't open isn't looked for
         at = 0
         while at < len(html):
             found = TAG.search(html, at)
@@ -79,15 +84,21 @@ class Page:
                     if tag in RAW:
                         close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(html, at)
                         at = close.end() if close else len(html)
-                        self.opened.pop()
+                        self._pop(len(self.opened) - 1)
+
+    def _pop(self, depth: int) -> None:
+        self.n_open.subtract(self.tag[n] for n in self.opened[depth:])
+        del self.opened[depth:]
 
     def _end(self, tags: tuple[str, ...], stops: frozenset[str]) -> None:
+        if not any(self.n_open[tag] for tag in tags):
+            return
         for depth in range(len(self.opened) - 1, 0, -1):
             tag = self.tag[self.opened[depth]]
             if tag in tags:
                 if any(self.tag[n] not in UNBROKEN for n in self.opened[depth:]):
                     self.texts.append((0, None))
-                del self.opened[depth:]
+                self._pop(depth)
                 return
             if tag in stops:
                 return
@@ -112,12 +123,13 @@ class Page:
             self.texts.append((0, None))
         if tag not in VOID:
             self.opened.append(len(self.tag) - 1)
+            self.n_open[tag] += 1
 
     def _close(self, tag: str) -> None:
         self._end((tag,), frozenset(["body"]) if tag not in ("body", "html") else frozenset())
 
     def _inside_article(self) -> bool:
-        return any(self.tag[n] in ("article", "main") for n in self.opened)
+        return self.n_open["article"] + self.n_open["main"] > 0
 
     def main_text(self) -> str:
         return self._text(self._chosen())

@@ -166,3 +166,9 @@ def test_articles_of_the_test_pages(spark, sf_dir):
         blocks = [" ".join(unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1|ul|li)>", article)]
         assert r.text == "\n".join(b for b in blocks if b)
         assert hashlib.sha256(r.text.encode()).digest() and r.n_chars == len(r.text)
+
+
+def test_broken_pages_are_read_in_one_pass():
+    for broken in ("<a " + "b" * 10 ** 6, "<p>x</p><a " * 20000, "text <b " * 30000, "</i><b>" * 30000, "<p x='" * 30000):
+        html.main_text("<body>" + broken)  # would take hours if tags were tried again and again
+    assert html.main_text("<body><p>kept text</p><p>and this<a href='x") == "kept text\nand this"
