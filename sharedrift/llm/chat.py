@@ -61,32 +61,48 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
             F.struct(F.when(i > 0, F.lit(NEXT)).otherwise("").alias("s"), F.lit(False).alias("loss")),
             F.struct(escape(t).alias("s"), (r["role"] == trained_role).alias("loss"))))),
         F.array(F.struct(F.lit(CLOSE).alias("s"), F.lit(False).alias("loss"))))))
-    spans = F.aggregate(
-        "_pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start:long,n:long>>)").alias("found")),
+    pieced = runs.select("conv_id", pieces.alias("_pieces"))
+    # spans chunk by chunk: a list that grows turn by turn is copied each time, so it must not be the whole conversation
+    width = F.ceil(F.sqrt(F.size("_pieces"))).cast("int")
+    chunks = F.transform(
+        F.sequence(F.lit(1), F.size("_pieces"), width), lambda first: F.slice("_pieces", first, width))
+    chunked = pieced.withColumn("_chunks", chunks).withColumn("_sizes", F.transform("_chunks", lambda chunk: F.aggregate(
+        chunk, F.lit(0).cast("long"), lambda total, p: total + F.octet_length(p["s"]))))
+    starts_at = F.aggregate(
+        "_sizes", _walk(F.lit(0).cast("long"), "array<long>"),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")),
+        lambda acc: acc["found"])
+    spans = F.flatten(F.zip_with("_chunks", "_starts_at", lambda chunk, at: F.aggregate(
+        chunk, _walk(at, "array<struct<start:long,n:long>>"),
         lambda acc, p: F.struct(
             (acc["at"] + F.octet_length(p["s"])).alias("at"),
             F.when(p["loss"], F.concat(acc["found"], F.array(F.struct(
                 acc["at"].alias("start"), F.octet_length(p["s"]).cast("long").alias("n"))))).otherwise(
                     acc["found"]).alias("found")),
-        lambda acc: acc["found"])
-    return runs.select("conv_id", pieces.alias("_pieces")).select(
+        lambda acc: acc["found"])))
+    return chunked.withColumn("_starts_at", starts_at).select(
         "conv_id", F.array_join(F.transform("_pieces", lambda p: p["s"]), "").alias("formatted"),
         spans.alias("loss_spans"))
 
 
+def _walk(at: Column, found: str) -> Column:
+    return F.struct(at.alias("at"), F.expr(f"CAST(array() AS {found})").alias("found"))
+
+
 def read_turns(formatted: Column) -> Column:
     """Turns read back from formatted text: array of (role, text), one per original row."""
     runs = F.slice(F.split(formatted, CLOSE, -1), F.lit(1), F.size(F.split(formatted, CLOSE, -1)) - 1)
-    mark = r"\[/ROLE\]"
-    return F.flatten(F.transform(runs, lambda run: F.transform(
-        F.split(F.element_at(F.split(run, mark, 2), 2), r"\[NEXT\]", -1), lambda text: F.struct(
-            unescape(F.substring(F.element_at(F.split(run, mark, 2), 1), len(OPEN + ROLE) + 1, 2147483647)).alias("role"),
+    # each run is split once, before its texts are looked at
+    halves = F.transform(runs, lambda run: F.split(run, r"\[/ROLE\]", 2))
+    return F.flatten(F.transform(halves, lambda half: F.transform(
+        F.split(half[1], r"\[NEXT\]", -1), lambda text: F.struct(
+            unescape(F.substring(half[0], len(OPEN + ROLE) + 1, 2147483647)).alias("role"),
             unescape(text).alias("text")))))
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """Text under the loss mask, unescaped, nothing between."""
-    raw = F.encode(formatted, "UTF-8")
-    return F.array_join(F.transform(spans, lambda s: unescape(F.decode(
-        F.substring(raw, (s["start"] + 1).cast("int"), s["n"].cast("int")), "UTF-8"))), "")
+    # the array of one element names the bytes, so they are made once and not for each span
+    return F.get(F.transform(F.array(F.encode(formatted, "UTF-8")), lambda raw: F.array_join(F.transform(
+        spans, lambda s: unescape(F.decode(
+            F.substring(raw, (s["start"] + 1).cast("int"), s["n"].cast("int")), "UTF-8"))), "")), F.lit(0))
