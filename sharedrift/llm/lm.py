@@ -1,19 +1,19 @@
 """Language-model scores from a weighted backoff automaton.
 
-Counting: words are counted over all training documents.  An n-gram becomes a state or an arc if it makes up at least
-1 / ``MODEL_PARTS`` of the training tokens.  No more than ``MODEL_PARTS`` n-grams of one length can, whatever the corpus,
-and an n-gram can only if its parts do; so each length is counted among candidates the last one left, and the automaton has
-a proven size and may be sent to every task.
+Counting: every word and every n-gram up to ``order`` words of the training documents is counted, whatever its number, in
+written tables keyed by the hashes of the words.
 
-Automaton: the states are the empty context and the kept contexts, each with a failure arc to its longest kept
-suffix.  An arc's weight is the discounted probability of a word; a failure arc's weight returns the mass the state's own
-arcs leave, so the probabilities of a state sum to one.  The root has add-one weights for every word, those of the many
-rare words among them: a rare word always falls through to the root, so its weight is added by a join with the word counts
-after the traversal.
+Automaton: the states are the empty context and all contexts seen, each with a failure arc to its longest suffix.  An arc's
+weight is the discounted probability of a word; a failure arc's weight returns the mass the state's own arcs leave, so the
+probabilities of a state sum to one.  The root has add-one weights for every word.  Arcs and failure weights are tables too.
 
 Traversal: the state before a token is the longest suffix of the text so far that is a state, at most ``order`` - 1 words.
-A batch's documents are laid end to end, the states of all positions found at once, and the weights along the path summed
-for each document.
+The n-gram that ends at a token is looked up among the arcs by a join; where it isn't one, its context's failure weight is
+added and the n-gram one word shorter looked up.  Equal n-grams of a document are looked up once; where few n-grams may
+be very frequent, the joins are salted.
+
+Shortcut: n-grams that make up at least 1 / ``MODEL_PARTS`` of the training tokens, so no more than ``MODEL_PARTS`` of one
+length, are sent to every task as a small automaton.  Their weights are the same as in the tables; all others are joined.
 
 The text starts in the state of the end token, as if another text had ended.
 
@@ -23,6 +23,7 @@ columns are ignored.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from math import log10
 
 import numpy as np
@@ -33,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sharedrift.operators.joins import spread_join
 from sharedrift.sources.tables import written_once
 
 ORDER = 2
@@ -42,6 +44,7 @@ HELD_OUT = 2  # remainder of the checksum modulo FOLDS
 FOLDS = 7
 END = b"\n"  # no word has white space
 SLICE_BYTES = 16_000_000
+SPREAD = 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,10 +68,31 @@ class Tokens:
         self.doc = np.repeat(np.arange(len(texts)), sizes)
         self.lead = np.zeros(len(self.codes), dtype=bool)
         self.lead[np.cumsum(sizes) - sizes] = True
+        self.offset = np.arange(len(self.codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def distinct(self, at: np.ndarray, length: int, by_doc: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """One position of each different n-gram that ends at some positions, and how many of them it ends at."""
+        key = self.codes[at]
+        for back in range(1, length):
+            key = _paired(self.codes[at - back], key)
+        key = _paired(self.doc[at], key) if by_doc else pd.factorize(key)[0]
+        one = np.empty(key.max(initial=-1) + 1, dtype=np.int64)
+        one[key] = at
+        return one, np.bincount(key)
+
+    def gram(self, at: np.ndarray, length: int, order: int) -> list[pa.Array]:
+        """The words of the n-grams that end at some positions, by hash; nulls up to the greatest length."""
+        return [pa.array(self.hashes[self.codes[at - back]]) for back in range(length - 1, -1, -1)] + [
+            pa.nulls(len(at), pa.int64())] * (order - length)
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Small numbers for pairs of small numbers."""
+    return pd.factorize(a * (b.max(initial=0) + 1) + b)[0]
 
 
 class Automaton:
-    """Kept n-grams by length.  A state is a number among the kept n-grams of its length, -1 if not kept."""
+    """The frequent n-grams by length.  A state is a number among the kept n-grams of its length, -1 if not kept."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int) -> None:
         order = np.argsort(words)
@@ -105,39 +129,16 @@ class Automaton:
         self.counts.append(counts[order])
         state, word = np.divmod(self.keys[-1], max(len(self.words), 1))
         probability = (self.counts[-1] - DISCOUNT) / self.counts[-2][state]
-        shorter = 10.0 ** self._shorter(state, word)
+        if len(self.keys) == 1:
+            self.tail, shorter = word, 10.0 ** self.root[word]
+        else:  # the n-gram without its first word
+            self.tail = _find(self.keys[-2], self.tail[state] * len(self.words) + word)
+            shorter = 10.0 ** self.arcs[-1][self.tail]
         left = 1 - np.bincount(state, probability, len(self.counts[-2]))
         left_shorter = 1 - np.bincount(state, shorter, len(self.counts[-2]))
         self.arcs.append(np.log10(probability))
         self.failures.append(np.log10(np.maximum(left, 1e-9) / np.maximum(left_shorter, 1e-9)))
 
-    def _shorter(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Weights of words after the longest suffix of the states, which are n-grams of the last length but one."""
-        if len(self.keys) == 1:
-            return self.root[word]
-        # a state (u, v) is a key of the length before; its suffix is the state that ends in v one length shorter
-        suffix = self.keys[-2][state] % len(self.words)
-        for _ in range(len(self.keys) - 2):
-            raise ValueError("orders above 3 are not supported")
-        return self.arcs[-1][_find(self.keys[-2], suffix * len(self.words) + word)]
-
-    def weights(self, word: np.ndarray, lead: np.ndarray) -> np.ndarray:
-        """Weight on the way from the state before each token to the state after it; a rare word's root weight is left out."""
-        states = self.states(word, lead)
-        total = np.zeros(len(word))
-        falling = ~lead
-        for n in range(len(self.keys) - 1, -1, -1):
-            before = np.concatenate([[-1], states[n][:-1]])
-            arc = np.where(falling, states[n + 1], -1)
-            taken = arc >= 0
-            total[taken] += self.arcs[n][arc[taken]]
-            falling &= ~taken
-            failing = falling & (before >= 0)
-            total[failing] += self.failures[n][before[failing]]
-        known = falling & (word >= 0)
-        total[known] += self.root[word[known]]
-        return total
-
 
 def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted key, -1 if it isn't there."""
@@ -164,11 +165,6 @@ def _texts(docs: DataFrame) -> DataFrame:
         F.col("text"), F.lit("")).cast("binary").alias("_text"))
 
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    key, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-
 def word_counts(training: DataFrame) -> DataFrame:
     """(key, n): occurrences of every word, by hash.  A written table."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,44 +176,107 @@ def word_counts(training: DataFrame) -> DataFrame:
     return written_once(found.groupBy("key").agg(F.sum("n").alias("n")))
 
 
-def _kept(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that make up enough of the training tokens: at most MODEL_PARTS of them."""
-    kept = counts.filter(F.col("n") >= least).toArrow().combine_chunks()
-    return kept["key"].to_numpy(), kept["n"].to_numpy()
+def _words(length: int) -> list[str]:
+    return [f"g{i}" for i in range(1, length + 1)]
 
 
-def train(docs: DataFrame, counts: DataFrame, order: int = ORDER) -> Automaton:
-    """The automaton of the documents that are not held out; ``counts``: their word counts."""
-    spark = docs.sparkSession
+def gram_counts(training: DataFrame, order: int) -> DataFrame:
+    """(length, g1, g2, ..., n): occurrences of every n-gram of two words and more.  A written table."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tokens in _slices(batches):
+            for length in range(2, order + 1):
+                at, n = tokens.distinct(np.flatnonzero(tokens.offset >= length - 1), length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), length)), *tokens.gram(at, length, order), pa.array(n)], names=names)
+
+    names = ["length", *_words(order), "n"]
+    found = training.mapInArrow(work, ", ".join(f"{name} bigint" for name in names))
+    return written_once(found.groupBy(*names[:-1]).agg(F.sum("n").alias("n")))
+
+
+def _frequent(counts: DataFrame, least: float) -> list[np.ndarray]:
+    """The columns of the n-grams that make up enough of the training tokens: at most MODEL_PARTS of them."""
+    return [c.to_numpy() for c in counts.filter(F.col("n") >= least).toArrow().combine_chunks().columns]
+
+
+def train(docs: DataFrame, counts: DataFrame, order: int = ORDER, grams: DataFrame | None = None) -> Automaton:
+    """The automaton of the frequent n-grams of the documents that are not held out; ``counts``, ``grams``: their counts."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = tokens / MODEL_PARTS
-    model = Automaton(*_kept(counts, least), tokens, distinct)
-    for _ in range(order - 1):
-        sent = spark.sparkContext.broadcast(model)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = sent.value
-            for _, tokens in _slices(batches):
-                word = model.word_numbers(tokens)
-                states = model.states(word, tokens.lead)
-                keys = model.extend(states[-1], word)
-                # the n-gram's suffix must be kept as well as its prefix
-                yield _counted(keys[(keys >= 0) & ~tokens.lead & (states[-1] >= 0)])
-
-        found = _texts(docs).filter("NOT held_out").mapInArrow(work, "key bigint, n bigint")
-        model.add_length(*_kept(found.groupBy("key").agg(F.sum("n").alias("n")), least))
+    model = Automaton(*_frequent(counts, least), tokens, distinct)
+    if order > 1 and grams is None:
+        grams = gram_counts(_texts(docs).filter("NOT held_out"), order)
+    for length in range(2, order + 1):
+        *words, n = _frequent(grams.filter(F.col("length") == length).select(*_words(length), "n"), least)
+        # the parts of a frequent n-gram are as frequent, so all are known
+        numbers = [_find(model.words, w) for w in words]
+        state = numbers[0]
+        for keys, number in zip(model.keys, numbers[1:-1]):
+            state = _find(keys, state * len(model.words) + number)
+        model.add_length(state * len(model.words) + numbers[-1], n)
     return model
 
 
+def _weights(counts: DataFrame, grams: DataFrame, order: int, log_total: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of arcs (g1, ..., weight) of each length, from 1, and of failures (g1, ..., weight) of contexts of each length."""
+    arcs = [counts.select(F.col("key").alias("g1"), (F.log10(F.col("n") + 1) - log_total).alias("weight"))]
+    before, failures = counts.select(F.col("key").alias("g1"), F.col("n").alias("_before")), []
+    for length in range(2, order + 1):
+        words = _words(length)
+        own = grams.filter(F.col("length") == length).select(*words, "n")
+        weighed = written_once(spread_join(own, before, words[:-1], words[-1:]).select(
+            *words, "_before", F.log10((F.col("n") - DISCOUNT) / F.col("_before")).alias("weight")))
+        shorter = arcs[-1].select(*[F.col(w).alias(v) for w, v in zip(words, words[1:])], F.col("weight").alias("_shorter"))
+        left = F.first("_before") / (DISCOUNT * F.count(F.lit(1)))  # each arc gives DISCOUNT of its count away
+        left_shorter = F.greatest(1 - F.sum(F.pow(F.lit(10.0), "_shorter")), F.lit(1e-9))
+        failures.append(spread_join(weighed, shorter, words[1:], words[:1]).groupBy(*words[:-1]).agg(
+            (-F.log10(left) - F.log10(left_shorter)).alias("weight")))
+        arcs.append(weighed.select(*words, "weight"))
+        before = own.withColumnRenamed("n", "_before")
+    return arcs, failures
+
+
+def _looked_up(rows: DataFrame, few: DataFrame, words: list[str]) -> DataFrame:
+    """Rows with the weights of their n-grams, null if there is none; rows of one n-gram are spread over several tasks."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SPREAD)))
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return rows.join(few, [*words, "_salt"], "left")
+
+
+def _backed_off(passed: DataFrame, arcs: list[DataFrame], failures: list[DataFrame], order: int, log_total: float) -> DataFrame:
+    """(row, _weight): the weights of the n-grams of each row that were not frequent."""
+    parts, shorter = [], None
+    for length in range(order, 1, -1):
+        words = _words(length)
+        here = passed.filter(F.col("length") == length).select("row", *words, F.col("n_tokens").alias("k"))
+        found = here.join(arcs[length - 1], words, "left")
+        if shorter is not None:
+            found = found.unionByName(_looked_up(shorter, arcs[length - 1], words).drop("_salt"))
+        # arcs found are summed by row, so only what fails is kept apart
+        fails = [F.when(F.col("weight").isNull(), F.col(w)).alias(w) for w in words]
+        level = written_once(found.select("row", *fails, "k", "weight").groupBy("row", *words).agg(
+            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("weight")).alias("weight")))
+        parts.append(level.filter("g1 IS NULL").select("row", "weight"))
+        failing = level.filter("g1 IS NOT NULL")
+        contexts = failing.groupBy("row", *words[:-1]).agg(F.sum("k").alias("k"))
+        parts.append(_looked_up(contexts, failures[length - 2], words[:-1]).select(
+            "row", (F.col("k") * F.coalesce("weight", F.lit(0.0))).alias("weight")))
+        shorter = failing.groupBy("row", *[F.col(w).alias(v) for v, w in zip(words, words[1:])]).agg(F.sum("k").alias("k"))
+    parts.append(_looked_up(shorter, arcs[0], ["g1"]).select(
+        "row", (F.col("k") * F.coalesce("weight", F.lit(-log_total))).alias("weight")))
+    return reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("weight").alias("_backed"))
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score."""
     texts = _texts(docs)
     counts = word_counts(texts.filter("NOT held_out"))
-    model = train(docs, counts, order)
+    grams = gram_counts(texts.filter("NOT held_out"), order) if order > 1 else None
+    model = train(docs, counts, order, grams)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and one for each rare word of it; ``row`` ties them together."""
+        """A row for each document, and one for each rare word and n-gram of it; ``row`` ties them together."""
         model, row = sent.value, TaskContext.get().partitionId() << 33
         for part, tokens in _slices(batches):
             word, real = model.word_numbers(tokens), ~tokens.lead
@@ -228,31 +287,39 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             base = per_doc(np.where(known, model.root[word] if len(model.root) else 0.0, 0.0))
             rare = np.flatnonzero(real & ~known)
             missing = np.bincount(tokens.doc[rare], minlength=size) * model.log_total()
-            rows = row + np.arange(size)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.nulls(size, pa.int64()), pa.array(n_tokens),
-                pa.array(per_doc(known.astype(float)).astype(np.int64)), pa.array(base - missing),
-                pa.array(per_doc(model.weights(word, tokens.lead)) - missing)], names=names)
-            pair, n = np.unique(tokens.doc[rare] * len(tokens.hashes) + tokens.codes[rare], return_counts=True)
-            of, code = np.divmod(pair, len(tokens.hashes))
-            none = len(pair)
+            weight, rows, left = np.zeros(len(word)), row + np.arange(size), []
+            reach = np.minimum(tokens.offset + 1, order)
+            for length, (arcs, state) in enumerate(zip(model.arcs, model.states(word, tokens.lead)[1:]), 2):
+                here = real & (reach == length)
+                taken = here & (state >= 0)
+                weight[taken] = arcs[state[taken]]
+                left.append((length, *tokens.distinct(np.flatnonzero(here & ~taken), length, by_doc=True)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows[of]), pa.nulls(none, part.schema.field("doc_id").type), pa.nulls(none, pa.bool_()),
-                pa.array(tokens.hashes[code]), pa.array(n), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()),
-                pa.nulls(none, pa.float64())], names=names)
+                pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(np.zeros(size, dtype=np.int64)),
+                *[pa.nulls(size, pa.int64())] * order, pa.array(n_tokens), pa.array(per_doc(known.astype(float)).astype(np.int64)),
+                pa.array(base - missing), pa.array(per_doc(weight))], names=names)
+            for length, at, n in [(1, *tokens.distinct(rare, 1, by_doc=True)), *left]:
+                none = len(at)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(rows[tokens.doc[at]]), pa.nulls(none, part.schema.field("doc_id").type), pa.nulls(none, pa.bool_()),
+                    pa.array(np.full(none, length)), *tokens.gram(at, length, order), pa.array(n), pa.nulls(none, pa.int64()),
+                    pa.nulls(none, pa.float64()), pa.nulls(none, pa.float64())], names=names)
             row += size
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "held_out", "key", "n_tokens", "n_known", "base_score", "score"]
-    passed = written_once(texts.mapInArrow(
-        work, f"row bigint, doc_id {id_type}, held_out boolean, key bigint, n_tokens bigint, n_known bigint,"
-              " base_score double, score double"))
+    names = ["row", "doc_id", "held_out", "length", *_words(order), "n_tokens", "n_known", "base_score", "score"]
+    types = ["bigint", id_type, "boolean", "bigint", *["bigint"] * order, "bigint", "bigint", "double", "double"]
+    passed = written_once(texts.mapInArrow(work, ", ".join(map(" ".join, zip(names, types)))))
     weight = F.col("n_tokens") * F.log10(F.coalesce("n", F.lit(0)) + 1)
-    rare = passed.filter("key IS NOT NULL").select("row", "key", "n_tokens").join(counts, "key", "left").groupBy("row").agg(
+    rare = passed.filter("length = 1").select("row", F.col("g1").alias("key"), "n_tokens").join(counts, "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("n_tokens")).otherwise(0)).alias("_known"), F.sum(weight).alias("_weight"))
-    scored = passed.filter("key IS NULL").join(rare, "row", "left")
-    add = F.coalesce("_weight", F.lit(0.0))
+    scored = passed.filter("length = 0").join(rare, "row", "left")
+    base = F.col("base_score") + F.coalesce("_weight", F.lit(0.0))
+    total = base
+    if order > 1:
+        backed = _backed_off(passed, *_weights(counts, grams, order, model.log_total()), order, model.log_total())
+        scored = scored.join(backed, "row", "left")
+        total = F.col("score") + F.coalesce("_backed", F.lit(0.0))
     return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"))
+        F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"))

@@ -281,6 +281,48 @@ def test_automaton_probabilities_sum_to_one_and_pruning_keeps_them(spark, monkey
             assert mass == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("parts", [1, 200])
+def test_lm_scores_keep_every_pair(spark, monkeypatch, parts):
+    """The same scores whatever number of n-grams is sent to the tasks."""
+    monkeypatch.setattr(lm, "MODEL_PARTS", parts)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx({i: total for i, *_, total in brute_lm(rows)})
+
+
+@pytest.mark.parametrize("parts", [1, 50, 1 << 20])
+def test_longer_contexts_back_off_step_by_step(spark, monkeypatch, parts):
+    monkeypatch.setattr(lm, "MODEL_PARTS", parts)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(list("abcdefg"), 12))) for i in range(60)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    c, order = Counter(), 4
+    for i, text in rows:
+        w = ["\n", *text.split(), "\n"]
+        if not held[i]:
+            c.update((x,) for x in w[1:])
+            c.update(tuple(w[k:k + n]) for n in range(2, order + 1) for k in range(len(w) - n + 1))
+    vocabulary = [g[0] for g in c if len(g) == 1]
+    tokens = sum(c[w,] for w in vocabulary)
+
+    def p(h, w):
+        if not h:
+            return (c[w,] + 1) / (tokens + len(vocabulary) + 1)
+        if not c[h]:
+            return p(h[1:], w)
+        if c[*h, w]:
+            return (c[*h, w] - 0.5) / c[h]
+        own = [v for v in vocabulary if c[*h, v]]
+        return (1 - sum((c[*h, v] - 0.5) / c[h] for v in own)) / (1 - sum(p(h[1:], v) for v in own)) * p(h[1:], w)
+
+    want = {}
+    for i, text in rows:
+        w = ["\n", *text.split(), "\n"]
+        want[i] = sum(log10(p(tuple(w[max(0, k - order + 1):k]), w[k])) for k in range(1, len(w)))
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), order).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_context_helps_on_held_out_documents(spark, sf_dir):
     got = lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("held_out").agg(
         F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
