@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in Spark expressions only.
 
 Lines are normalised (words in lower case, one space between) and hashed.  For every host and line the distinct documents
-that hold it are counted; copies of a text count as one document, known by the smallest hash of its other lines, so that a
+that hold it are counted; copies of a text count as one document, known by the hash of the whole text, so that a
 text which is merely copied keeps its lines.  Lines in more than ``LINE_LIMIT`` documents of a host are boilerplate and removed;
 documents left with less than ``MIN_KEPT`` of their words are depleted and rejected, as are those that fail the base
 rules (too few words, too many repeated ones).
@@ -61,20 +61,15 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def line_words(docs: DataFrame) -> DataFrame:
-    """(key, line, copy_key, n): every line with a word, its 128-bit hash, and its number of words."""
+    """(key, line, n): every line with a word, its 128-bit hash, and its number of words."""
     def normal(line: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
     split = docs.select(
         "doc_id", "source", text_key(F.col("text")).alias("_text"),
-        F.filter(F.transform(F.split("text", "\n"), normal), lambda line: line != "").alias("_lines"))
-    hashed = split.withColumn("_hashes", F.transform("_lines", lambda line: F.struct(
-        F.unhex(F.md5(line)).alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).alias("n"))))
-    # the smallest hash and the next one, so each line has another line's for its text's key
-    two = F.slice(F.sort_array(F.array_distinct(F.transform("_hashes", lambda h: h["line"]))), 1, 2)
-    rows = hashed.withColumn("_two", two).select(*KEY, "_two", F.explode("_hashes").alias("_h"))
-    other = F.when(F.col("_h.line") == F.get("_two", F.lit(0)), F.get("_two", F.lit(1))).otherwise(F.get("_two", F.lit(0)))
-    return rows.select(*KEY, other.alias("copy_key"), "_h.line", "_h.n")
+        F.explode(F.filter(F.transform(F.split("text", "\n"), normal), lambda line: line != "")).alias("_line"))
+    return split.select(*KEY, F.unhex(F.md5("_line")).alias("line"), (
+        F.length("_line") - F.length(F.replace("_line", F.lit(" "))) + 1).alias("n"))
 
 
 def boilerplate(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
@@ -82,7 +77,7 @@ def boilerplate(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
 
     Repeats are merged in two steps, both with map-side sums, so a line that a third of all documents hold is no hot key.
     """
-    once = lines.groupBy("source", "line", "copy_key").agg(F.lit(1).alias("one"))
+    once = lines.groupBy("source", "line", "_text").agg(F.lit(1).alias("one"))
     return once.groupBy("source", "line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > limit).drop("_docs")
 
 

@@ -232,6 +232,16 @@ def test_boilerplate_lines_are_removed_and_copies_keep_theirs(spark):
     assert all(got[200 + n].n_removed_words == 80 and not got[200 + n].kept for n in range(20))
 
 
+def test_different_documents_with_two_common_lines_count_each(spark):
+    """A header and a footer in 20 different texts; and a text with 20 copies, which keeps its lines."""
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(60))
+    rows = [(n, f"The header line\n{own(n)}\nThe footer line", "h") for n in range(20)]
+    rows += [(100 + n, f"{own(0)}\nThe header line", "k") for n in range(20)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[n].n_removed_words == 6 for n in range(20))
+    assert all(got[100 + n].n_removed_words == 0 for n in range(20))
+
+
 # Language model -----------------------------------------------------------------------------------------------------
 
 def brute_lm(rows, order=2):
