@@ -3,8 +3,9 @@
 Every node of a page has a density: its characters per tag, raised where little of them is link text.  A node's
 density sum is the sum of its children's densities.  The node with the largest sum is the core of the article; the
 least density on its path to the body is the threshold.  From the body down, each branch whose density reaches the
-threshold gives the subtree with the largest sum inside it.  A chosen subtree inside an ``article`` or ``main`` element
-stands for that element as a whole.
+threshold gives the subtree with the largest sum inside it, and what stands beside that subtree is searched in the same way.  A chosen
+subtree inside an ``article`` or ``main`` element stands for that element as a whole; one without takes the headings
+right before it along.
 
 What is never article text takes no part: scripts, styles, forms, menus, page headers and footers, sidebars, and elements whose
 class, id or role says so (adverts, notices, reader comments and the like).
@@ -49,6 +50,7 @@ ENDS_SAME = {  # an open element of the second kind ends where one of the first
 STOPS = frozenset("ul ol dl table select body html article section div main".split())  # such an end goes no further up
 UNBROKEN = INLINE | RAW | (VOID - {"hr"}) | frozenset("button select template svg math object canvas audio video head".split())
 KEEPS_PARAGRAPH = INLINE | VOID | RAW | frozenset(["body", "html", "head", "button", "object", "svg", "math"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # --- end of fixed values --------------------------------------------------------------------------------------------
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|"
@@ -186,7 +188,19 @@ class Page:
             n = todo.pop()
             if not self.skip[n] and chars[n]:
                 if density[n] >= threshold and (n != body or core == body):
-                    chosen.add(self._whole(best[n]))
+                    node = self._whole(best[n])
+                    chosen.add(node)
+                    headings = self.tag[node] not in ("article", "main")
+                    # the rest of the branch: what stands beside the way down to the chosen node
+                    while node > n:  # nodes are in page order
+                        up = self.parent[node]
+                        at = children[up].index(node)
+                        todo += children[up][:at] + children[up][at + 1:]
+                        for m in reversed(children[up][:at]):
+                            if headings and chars[m] and not self.skip[m]:
+                                headings = self.tag[m] in HEADINGS
+                                chosen.update([m] if headings else [])
+                        node = up
                 else:
                     todo += children[n]
         return chosen

@@ -172,3 +172,13 @@ def test_broken_pages_are_read_in_one_pass():
     for broken in ("<a " + "b" * 10 ** 6, "<p>x</p><a " * 20000, "text <b " * 30000, "</i><b>" * 30000, "<p x='" * 30000):
         html.main_text("<body>" + broken)  # would take hours if tags were tried again and again
     assert html.main_text("<body><p>kept text</p><p>and this<a href='x") == "kept text\nand this"
+
+
+def test_text_in_sibling_containers_is_kept():
+    """Pages without article or main: every container of the branch that is dense enough, and the heading before it."""
+    parts = [f"<p>{'word ' * 200}{n}</p>" for n in range(6)]
+    halves = "".join(f"<div>{''.join(parts[n:n + 3])}</div>" for n in (0, 3))
+    text = [line for n in range(6) for line in [f"{'word ' * 200}{n}"]]
+    assert html.main_text(f"<body><div id=wrap>{halves}</div></body>").split("\n") == text
+    page = f"<body><div><h1>The title</h1>{halves}<div><a href=x>more</a></div></div></body>"
+    assert html.main_text(page).split("\n") == ["The title", *text]
