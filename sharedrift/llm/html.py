@@ -8,7 +8,9 @@ subtree inside an ``article`` or ``main`` element stands for that element as a w
 right before it along.
 
 What is never article text takes no part: scripts, styles, forms, menus, page headers and footers, sidebars, and elements whose
-class, id or role says so (adverts, notices, reader comments and the like).
+class, id or role says so (adverts, notices, reader comments and the like).  Such a name must be a whole class, id or role, of
+which the other parts, if any, are words like "box" or "list".  Names don't count for ``article`` and ``main`` elements, nor, on
+pages that have none, for the element that holds most of the text.
 
 Text: character references are decoded; white space inside a block becomes one space and is trimmed; blocks are joined in
 page order by one newline.
@@ -38,33 +40,51 @@ INLINE = frozenset(
     " span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset(
     "head script style textarea title xmp iframe noembed noframes noscript nav footer aside form button select template"
-    " svg math object embed canvas audio video dialog menu".split())
+    " svg embed canvas audio video menu annotation annotation-xml".split())
+DROPPED_OUTSIDE = frozenset("header dialog object".split())  # unless in an article
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices"
     " comment comments disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead related share"
     " sharing social newsletter popup modal contentinfo complementary search".split())
+PLAIN_PARTS = frozenset(
+    "area bar block body bottom box container content form global inner item items left link links list main outer page panel"
+    " right section site slot the top unit widget wrap wrapper".split())
+MATH = frozenset(
+    "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub"
+    " msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split())
 ENDS_SAME = {  # an open element of the second kind ends where one of the first begins
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"),
 }
 STOPS = frozenset("ul ol dl table select body html article section div main".split())  # such an end goes no further up
-UNBROKEN = INLINE | RAW | (VOID - {"hr"}) | frozenset("button select template svg math object canvas audio video head".split())
-KEEPS_PARAGRAPH = INLINE | VOID | RAW | frozenset(["body", "html", "head", "button", "object", "svg", "math"])
+UNBROKEN = INLINE | RAW | MATH | (VOID - {"hr"}) | frozenset("button select template svg object canvas audio video head".split())
+KEEPS_PARAGRAPH = INLINE | VOID | RAW | MATH | frozenset(["body", "html", "head", "button", "object", "svg"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # --- end of fixed values --------------------------------------------------------------------------------------------
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|"
     # possessive, so every character is read once; a tag that never ends takes the rest of the page
     r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 NAME_PARTS = re.compile(r"[a-z0-9]+")
 
 
+def _says_dropped(attributes: str) -> bool:
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for word in unescape("".join(values)).lower().split():
+                parts = {part for part in NAME_PARTS.findall(word) if not part.isdigit()}
+                if not parts.isdisjoint(DROPPED_NAMES) and parts <= DROPPED_NAMES | PLAIN_PARTS:
+                    return True
+    return False
+
+
 class Page:
     """A page as parallel lists, nodes in page order (a parent before its children); node 0 is the root."""
 
     def __init__(self, html: str) -> None:
         self.parent, self.tag, self.skip = [0], [""], [False]
+        self.named = [False]  # whether the class, id or role is that of something dropped
         self.texts: list[tuple[int, str | None]] = []  # text and the node it stands in; None where a block begins or ends
         self.opened = [0]
         self.n_open: Counter[str] = Counter()  # by tag, so what isn't open isn't looked for
@@ -87,6 +107,7 @@ class Page:
                         close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(html, at)
                         at = close.end() if close else len(html)
                         self._pop(len(self.opened) - 1)
+        self._skip_named()
 
     def _pop(self, depth: int) -> None:
         self.n_open.subtract(self.tag[n] for n in self.opened[depth:])
@@ -111,11 +132,9 @@ class Page:
         if tag in ENDS_SAME:
             self._end(ENDS_SAME[tag], STOPS)
         up = self.opened[-1]
-        skip = self.skip[up] or tag in DROPPED or (tag == "header" and not self._inside_article())
-        if not skip and attributes and tag not in ("html", "body"):
-            skip = any(
-                not DROPPED_NAMES.isdisjoint(NAME_PARTS.findall(unescape(a or b or c).lower()))
-                for a, b, c in NAMES.findall(attributes))
+        skip = self.skip[up] or tag in DROPPED or (tag in DROPPED_OUTSIDE and not self._inside_article())
+        self.named.append(
+            not skip and attributes != "" and tag not in ("html", "body", "article", "main") and _says_dropped(attributes))
         self.parent.append(up)
         self.tag.append(tag)
         self.skip.append(skip)
@@ -133,6 +152,22 @@ class Page:
     def _inside_article(self) -> bool:
         return self.n_open["article"] + self.n_open["main"] > 0
 
+    def _skip_named(self) -> None:
+        if not any(self.named):
+            return
+        size = len(self.tag)
+        chars = [0] * size
+        for n, text in self.texts:
+            if text and not self.skip[n]:
+                chars[n] += len("".join(text.split()))
+        has_article = any(not skip and tag in ("article", "main") for skip, tag in zip(self.skip, self.tag))
+        for n in range(size - 1, 0, -1):
+            if not self.skip[n]:
+                chars[self.parent[n]] += chars[n]
+        for n in range(1, size):
+            holds_most = not has_article and 2 * chars[n] > chars[0]
+            self.skip[n] = self.skip[n] or self.skip[self.parent[n]] or (self.named[n] and not holds_most)
+
     def main_text(self) -> str:
         return self._text(self._chosen())
 

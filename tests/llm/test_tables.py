@@ -182,3 +182,21 @@ def test_text_in_sibling_containers_is_kept():
     assert html.main_text(f"<body><div id=wrap>{halves}</div></body>").split("\n") == text
     page = f"<body><div><h1>The title</h1>{halves}<div><a href=x>more</a></div></div></body>"
     assert html.main_text(page).split("\n") == ["The title", *text]
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content with-sidebar'>{}</div>", "<article class='post no-comments'>{}</article>",
+    "<div class='layout has-banner'><article>{}</article></div>", "<div id='search-result-article'>{}</div>",
+    "<div data-id=menu data-role='ad'>{}</div>", "<article class=related>{}</article>", "<div class=share>{}</div>",
+    "<article><dialog open>{}</dialog></article>"])
+def test_names_do_not_drop_the_article(page):
+    text = "words of the article " * 30
+    assert html.main_text("<body>" + page.format(f"<p>{text}</p>") + "<div class=ad>Buy</div>").strip() == text.strip()
+
+
+def test_names_and_formulas():
+    text = "words of the article " * 30
+    for name in ("class='big ad'", "id=cookie-banner", "role=search", "class=comments-list", "class=ad-1"):
+        assert html.main_text(f"<article><p>{text}</p><div {name}>noise</div></article>") == text.strip()
+    formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
+    assert html.main_text(f"<article><p>{text}with {formula} here</p></article>") == text + "with x=2 here"
