@@ -3,7 +3,8 @@
 Every run of ``GRAM`` words of a text is joined, by its hash and then its words, with the places where it stands in the
 templates.  A match at text position p and template position t votes for the diagonal p - t: a notice quoted word for word
 puts all its votes on one diagonal.  Inserted or missing words move the votes to a neighbouring diagonal, so diagonals at
-most ``SLACK`` apart are merged into one span.  A span is verified if it holds enough of the template's runs within
+most ``SLACK`` apart are merged into one span, but for those that hold all of the template's runs: each is a span of its own,
+so short notices that follow each other don't grow into one too long.  A span is verified if it holds enough of the template's runs within
 about the template's length.  Short phrases are templates too, but need every run on one diagonal.
 
 Votes, not texts, are shuffled: the template table is broadcast (its size is fixed by the argument), and each text also
@@ -93,12 +94,12 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     ).agg(
         F.count_distinct("at").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"),
         F.count(F.lit(1)).alias("copies")))
-    exact = votes.filter("exact AND votes = n_grams").select(
+    whole = votes.filter("votes = n_grams").select(
         "doc_id", "_text", "template", "label", "exact", F.col("diagonal").alias("start"),
         (F.col("diagonal") + F.col("n_grams") + GRAM - 1).alias("end"), F.lit(1.0).alias("coverage"),
         F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("long").alias("copies"))
     along = Window.partitionBy("doc_id", "_text", "template").orderBy("diagonal")
-    merged = votes.filter("NOT exact").withColumn(
+    merged = votes.filter("NOT exact AND votes < n_grams").withColumn(
         "_new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SLACK, F.lit(True)).cast("int"),
     ).withColumn("_span", F.sum("_new").over(along)).groupBy(
         "doc_id", "_text", "template", "label", "exact", "n_grams", "_span",
@@ -111,7 +112,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     markers = votes.filter("template IS NULL").select(
         "doc_id", "_text", "template", "label", "exact", F.lit(None).cast("int").alias("start"),
         F.lit(None).cast("int").alias("end"), F.lit(None).cast("double").alias("coverage"), "n_words", "copies")
-    return exact.unionByName(verified).unionByName(markers)
+    return whole.unionByName(verified).unionByName(markers)
 
 
 def licenses(docs: DataFrame) -> DataFrame:

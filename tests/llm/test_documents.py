@@ -132,6 +132,14 @@ def test_altered_notice_is_found(spark):
     assert got[1][0] == "bsd" and 0.75 <= got[1][1] < 1 and got[2] == ("", 0.0)
 
 
+def test_notices_that_follow_each_other_are_found(spark):
+    notice = "All rights reserved."
+    texts = [notice, f"{notice} {notice}", f"{notice}\n{notice}\n{notice}", f"x {notice} y {notice} z", "all rights all rights"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("label IS NOT NULL")
+    spans = sorted((r.doc_id, r.label, r.start, r.end) for r in rows.collect())
+    assert spans == [(n, "all-rights-reserved", at, at + 3) for n, at in [(0, 0), (1, 0), (1, 3), (2, 0), (2, 3), (2, 6), (3, 1), (3, 5)]]
+
+
 # SimHash ------------------------------------------------------------------------------------------------------------
 
 def brute_fingerprint(text):
