@@ -8,7 +8,7 @@ rules (too few words, too many repeated ones).
 
 Edge cases: a null text has no words and fails; a null source is a host of its own; rows that repeat id, source and text
 give equal results, one each; other rows with the same id are kept apart; an empty table gives an empty result; other
-columns are ignored by the measures and kept by ``kept_documents``.
+columns are ignored by the measures and kept by ``kept_documents`` and ``cleaned_documents``.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -60,14 +60,15 @@ def measures(docs: DataFrame) -> DataFrame:
         "_words", "_sorted", "_same", "_places")
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
 def line_words(docs: DataFrame) -> DataFrame:
     """(key, line, n): every line with a word, its 128-bit hash, and its number of words."""
-    def normal(line: Column) -> Column:
-        return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
-
     split = docs.select(
         "doc_id", "source", text_key(F.col("text")).alias("_text"),
-        F.explode(F.filter(F.transform(F.split("text", "\n"), normal), lambda line: line != "")).alias("_line"))
+        F.explode(F.filter(F.transform(F.split("text", "\n"), _normal), lambda line: line != "")).alias("_line"))
     return split.select(*KEY, F.unhex(F.md5("_line")).alias("line"), (
         F.length("_line") - F.length(F.replace("_line", F.lit(" "))) + 1).alias("n"))
 
@@ -107,10 +108,27 @@ def quality(docs: DataFrame) -> DataFrame:
         "_copy", "_copies", "_text")
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """The rows of documents that are kept, with all their columns."""
-    rejected = judge(docs).filter("NOT kept").select(*[F.col(c).alias(f"_{c}_rejected") for c in KEY])
+    rejected = judge(docs, limit).filter("NOT kept").select(*[F.col(c).alias(f"_{c}_rejected") for c in KEY])
     match = (
         F.col("doc_id").eqNullSafe(F.col("_doc_id_rejected")) & F.col("source").eqNullSafe(F.col("_source_rejected"))
         & text_key(F.col("text")).eqNullSafe(F.col("__text_rejected")))
     return docs.join(rejected, match, "left_anti")
+
+
+def cleaned_documents(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """The rows of documents that are kept, with all their columns, their texts without the boilerplate lines.
+
+    Other lines stay as they are, in their order; a text without boilerplate is unchanged.
+    """
+    kept, common = kept_documents(docs, limit), boilerplate(line_words(docs), limit)
+    lines = kept.select("doc_id", "source", "text", text_key(F.col("text")).alias("_text")).dropDuplicates(KEY).select(
+        *KEY, F.posexplode(F.split("text", "\n")).alias("at", "_own")).withColumn("line", F.unhex(F.md5(_normal(F.col("_own")))))
+    left = lines.alias("l").join(common.alias("c"), F.expr("l.source <=> c.source AND l.line = c.line"), "left_anti").groupBy(
+        *KEY).agg(F.array_join(F.transform(
+            F.sort_array(F.collect_list(F.struct("at", "_own"))), lambda x: x["_own"]), "\n").alias("_cleaned"))
+    joined = kept.withColumn("_text", text_key(F.col("text"))).alias("d").join(
+        left.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.source <=> r.source AND d._text = r._text"), "left")
+    # kept documents have words left, so each has lines
+    return joined.select(*[F.col("_cleaned").alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns])

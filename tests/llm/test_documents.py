@@ -250,6 +250,17 @@ def test_different_documents_with_two_common_lines_count_each(spark):
     assert all(got[100 + n].n_removed_words == 0 for n in range(20))
 
 
+def test_cleaned_texts_lose_only_boilerplate_lines(spark):
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(60))
+    rows = [(n, f"Shared   Line\n\n{own(n)}\nshared line\n  tail {n}\n", "h", n) for n in range(20)]
+    rows += [rows[0], (50, f"Shared line\n{own(50)}", "other", 1), (51, "shared line", "h", 1), (52, None, "h", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    got = quality.cleaned_documents(docs)
+    assert got.columns == docs.columns
+    want = [(n, f"\n{own(n)}\n  tail {n}\n", "h", n) for n in [*range(20), 0]] + [(50, rows[-3][1], "other", 1)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 # Language model -----------------------------------------------------------------------------------------------------
 
 def brute_lm(rows, order=2):
