@@ -1,6 +1,6 @@
 """The queries that SQL can express, as DuckDB SQL over the same tables."""
 
-from sharedrift.llm import chat, licenses, quality
+from sharedrift.llm import chat, licenses, quality, spelling, trie
 from sharedrift.llm.queries import ALLOW_RULES, BLOCK_RULES, LISTED_LABELS, QUERY_EVERY, TOP_K, VECTOR_SCALE
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -147,10 +147,92 @@ SELECT doc_id, any_value(len(words)) AS n_words, count(*) FILTER (exact) AS n_ba
 FROM worded LEFT JOIN found USING (doc_id) GROUP BY doc_id
 """
 
+# CRC-32 of a list of bytes: the usual table of 256 entries, made by its rule.
+_CRC_TABLE = """
+crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+              ORDER BY n) AS crc_of
+  FROM range(256) AS r(n))"""
+
+
+def _crc32(codes: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(crc_of[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+TRIE = rf"""
+WITH {_CRC_TABLE.strip()},
+turns AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[:{2 * trie.DIGEST}] AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, conv_id - conv_id % {trie.BLOCK} AS block,
+         list({{'digest': digest, 'words': words}} ORDER BY turn NULLS FIRST, digest) AS own
+  FROM turns GROUP BY conv_id),
+headed AS (
+  SELECT o.conv_id, o.own, coalesce(b.own, []) AS head,
+         ({_crc32("[ord(d)::BIGINT FOR d IN string_split(o.conv_id::VARCHAR, '')]")} % {trie.MAX_HEAD})::INTEGER AS h
+  FROM own o LEFT JOIN own b ON b.conv_id = o.block CROSS JOIN crc_table),
+convs AS (SELECT conv_id, head[1:h] || own[h + 1:] AS turns FROM headed),
+members AS (
+  SELECT conv_id, depth, depth = len(turns) AS ends, CASE WHEN depth > 0 THEN turns[depth].words ELSE 0 END AS words,
+         md5(array_to_string([t.digest FOR t IN turns[1:depth]], '')) AS node,
+         CASE WHEN depth > 0 THEN md5(array_to_string([t.digest FOR t IN turns[1:depth - 1]], '')) END AS parent
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM convs)),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(words) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+paths AS (  -- every node with itself and every node above it
+  SELECT DISTINCT m.node, a.node AS above FROM members m JOIN members a ON a.conv_id = m.conv_id AND a.depth <= m.depth),
+sums AS (
+  SELECT above AS node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM paths JOIN nodes USING (node) LEFT JOIN children USING (node) GROUP BY above)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.parent
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE.strip()},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{spelling.UPPER}', '{spelling.LOWER}') AS run
+  FROM documents),
+hashed AS (
+  SELECT run, {_crc32("""flatten([CASE WHEN ord(d) < 128 THEN [ord(d)::BIGINT] ELSE [192 + (ord(d) >> 6)::BIGINT, 128 + (ord(d) & 63)::BIGINT] END
+    FOR d IN string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '')])""")} AS h
+  FROM runs CROSS JOIN crc_table),
+words AS MATERIALIZED (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  GROUP BY word HAVING length(word) >= {spelling.MIN_LETTERS} AND count(*) >= {spelling.MIN_COUNT}),
+cuts AS MATERIALIZED (  -- each word without each of its letters
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS variant, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(variant ORDER BY m DESC, variant) AS variant, max(m) AS m FROM pairs GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.DOMINANCE} * n THEN variant END AS form,
+         CASE WHEN m >= {spelling.DOMINANCE} * n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk(word, place) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.place WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, walk.place AS root, f.n, f.n_near, f.form_n
+FROM walk JOIN forms AS last ON last.word = walk.place AND last.form IS NULL JOIN forms AS f ON f.word = walk.word
+"""
+
 ORACLE_SQL = {
     "op3_url_filter": URLS,
     "op4_license_scan": LICENSES,
     "op6_chat_format": CHAT,
     "op7_exact_top_k": TOP,
     "op8_quality_rules": QUALITY,
+    "op12_prefix_trie": TRIE,
+    "op13_spelling_variants": SPELLING,
 }

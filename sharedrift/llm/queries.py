@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, and the same in SQL where SQL can say it."""
+"""The operators applied to their whole tables, and the same in SQL where SQL can say it."""
 
 from collections.abc import Callable
 
@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharedrift.llm import bpe, chat, html, licenses, lm, mixing, quality, simhash, topk, urls
+from sharedrift.llm import bpe, chat, html, licenses, lm, mixing, pieces, quality, simhash, spelling, topk, trie, urls
 from sharedrift.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BLOCK_RULES, ALLOW_RULES = ("net/", "example.com/de/"), ("example.net/en/", "org/fr/")
 # First labels of domains the url filter blocks, with their subdomains, wherever they occur in the corpus.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -88,8 +89,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(PIECE_MODEL)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    digests = coded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        "agrees")
+    return pieces.decode(digests, model).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_byte_bpe, op3_url_filter, op4_license_scan, op5_simhash, op6_chat_format, op7_exact_top_k,
-        op8_quality_rules, op9_lm_score, op10_html_text)
+        op8_quality_rules, op9_lm_score, op10_html_text, op11_sentencepiece, op12_prefix_trie, op13_spelling_variants)
 }
