@@ -1,6 +1,6 @@
 """Text forms of places and year counts: WKT points, JSON maps, concatenated lists."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,13 +20,22 @@ def wkt_y(geom: Column) -> Column:
     return F.regexp_extract(geom, _WKT_POINT, 2).cast("double")
 
 
-def sorted_map(key: str, value: str) -> Column:
-    """Aggregate: key -> value in key order.
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions use several times.
+
+    A generator of one row is a border for the optimizer: it does not write the expressions out again at every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))))
+
+
+def sorted_map(key: str, value: str, where: Column | None = None) -> Column:
+    """Aggregate: key -> value in key order, of the rows that a condition holds for.
 
     Only for keys bounded by design and unique per group (years; cells of one tile): the input is always already
     reduced to one row per key, so the collected list is small however many observations stand behind it.
     """
-    return F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), F.col(value)))))
+    entry = F.struct(F.col(key), F.col(value))
+    return F.map_from_entries(F.sort_array(F.collect_list(entry if where is None else F.when(where, entry))))
 
 
 def sorted_map_of_maps(key: str, value: str) -> Column:

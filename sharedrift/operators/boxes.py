@@ -3,20 +3,26 @@
 A request names a species and its group, two opposite corners (in any order) and a span of years.  All sides are inclusive.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharedrift import settings as S
-from sharedrift.functions.features import sorted_map
+from sharedrift.functions.features import computed, sorted_map
 from sharedrift.operators.counts import group_point_year
 from sharedrift.operators.filters import in_box
-from sharedrift.operators.joins import spread_join
-from sharedrift.operators.trends import fit_shares, year_sums
+from sharedrift.operators.joins import copied, crowded_keys, dealt, joined_by, spread_join, with_salts
+from sharedrift.operators.trends import fit_shares
+
+# Sides of the large and the fine grid cells in hundredths of a degree, one a multiple of the other.
+LEVELS_E2 = (500, 50)
+
+# Tasks over which answers of large cells pass the join with the fine ones.
+SPREAD_ANSWERS = 1024
 
-# Sides of the cover cells in hundredths of a degree, each a multiple of the next.  Single places are tested in cells of
-# the smallest side only, so no key of the join has more than 20 x 20 places: a crowded species or place is split by cell,
-# and the join needs no salt (and no copies of the many cover cells).
-LEVELS_E2 = (500, 100, 20)
+# A cell of at most so many places (in one year) keeps the list of them; a finest cell has no more.
+LEAF_PLACES = LEVELS_E2[-1] ** 2
 
 
 def with_corners_ordered(requests: DataFrame) -> DataFrame:
@@ -40,105 +46,128 @@ def _last_e2(side: Column, limit: float) -> Column:
     return F.when((near + 1) / F.lit(100.0) <= high, near + 1).when(near / F.lit(100.0) > high, near - 1).otherwise(near)
 
 
-def _cell(cell_lat: Column, cell_lng: Column) -> Column:
-    """One integer per cover cell of a level; -1, which no box covers, for a missing place."""
-    return F.coalesce((cell_lat + 1000) * 10000 + cell_lng + 1000, F.lit(-1).cast("long"))
-
-
-def _cell_of_place(size: int) -> Column:
-    return _cell(F.floor(F.col("lat_e2") / size), F.floor(F.col("lng_e2") / size))
-
-
 def _range(first: Column, last: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _frames() -> Column:
-    """The cover of a box: for each level the cells wholly inside it but in no larger one, then the cells its edge cuts.
+def cell_levels(places: DataFrame, subject: list[str]) -> list[DataFrame]:
+    """For each level, from the largest cells to the smallest: (subject, row, column, year, n, n_places, places).
 
-    Each is a rectangle of cells (rows, columns) with a rectangular hole, so its cells can be listed along the frame.
+    ``places`` lists the single places (lat_e2, lng_e2, n) of a cell with at most ``LEAF_PLACES`` of them.  Each level is
+    summed from the next finer one, so every list that is collected holds at most the lists of one cell's parts.
+    ``places`` has one row per (subject, place, year).
     """
-    sides = {"r": ("_lat0", "_lat1"), "c": ("_lng0", "_lng1")}
-    parts, hole = [], None
-
-    def part(size: int, whole: bool, outer: dict[str, tuple[Column, Column]]) -> Column:
-        fields = [F.lit(size).alias("size"), F.lit(whole).alias("whole")]
-        for axis, (first, last) in outer.items():
-            fields += [first.alias(f"{axis}0"), last.alias(f"{axis}1")]
-        for axis in sides:  # a missing hole has no rows
-            low, high = (F.lit(1).cast("long"), F.lit(0).cast("long")) if hole is None else (
-                F.when(hole["some"], F.floor(hole[axis][0] / size)).otherwise(1),
-                F.when(hole["some"], F.floor((hole[axis][1] + 1) / size) - 1).otherwise(0))
-            fields += [low.alias(f"hole_{axis}0"), high.alias(f"hole_{axis}1")]
-        return F.struct(*fields)
-
-    for size in LEVELS_E2:
-        inside = {axis: (F.ceil(F.col(low) / size), F.floor((F.col(high) + 1) / size) - 1)
-                  for axis, (low, high) in sides.items()}
-        parts.append(part(size, True, inside))
-        hole = {axis: (first * size, (last + 1) * size - 1) for axis, (first, last) in inside.items()}
-        hole["some"] = (inside["r"][0] <= inside["r"][1]) & (inside["c"][0] <= inside["c"][1])
-    touched = {axis: (F.floor(F.col(low) / size), F.floor(F.col(high) / size)) for axis, (low, high) in sides.items()}
-    return F.array(*parts, part(size, False, touched))
-
-
-def _covers(boxes: DataFrame) -> DataFrame:
-    """One row per request and cover cell: ``size``, ``cell``, and ``whole`` where the cell lies entirely inside the box.
-
-    The number of cells grows with a box's outline, not with its area; places beyond the plottable world have none.
+    size = LEVELS_E2[-1]
+    finest = places.groupBy(
+        *subject, F.floor(F.col("lat_e2") / size).alias("row"), F.floor(F.col("lng_e2") / size).alias("column"), "year",
+    ).agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_places"),
+        F.collect_list(F.struct("lat_e2", "lng_e2", "n")).alias("places"))
+    levels = [finest]
+    for size, finer in zip(reversed(LEVELS_E2[:-1]), reversed(LEVELS_E2[1:])):
+        parts = size // finer
+        levels.insert(0, levels[0].groupBy(
+            *subject, F.floor(F.col("row") / parts).alias("row"), F.floor(F.col("column") / parts).alias("column"), "year",
+        ).agg(
+            F.sum("n").alias("n"), F.sum("n_places").alias("n_places"),
+            F.flatten(F.collect_list("places")).alias("places"),  # of parts that have kept their lists
+        ).withColumn("places", F.when(F.col("n_places") <= LEAF_PLACES, F.col("places"))))
+    return levels
+
+
+def _sided(boxes: DataFrame) -> DataFrame:
+    """Boxes by their first and last places; a box beyond the plottable world has none."""
+    return computed(
+        boxes,
+        _lat0=_first_e2(F.col("min_lat"), S.MAX_PLOT_LATITUDE), _lat1=_last_e2(F.col("max_lat"), S.MAX_PLOT_LATITUDE),
+        _lng0=_first_e2(F.col("min_lng"), S.MAX_PLOT_LONGITUDE), _lng1=_last_e2(F.col("max_lng"), S.MAX_PLOT_LONGITUDE),
+    ).where("_lat0 <= _lat1 AND _lng0 <= _lng1")
+
+
+def _touched(size: int, within: tuple[str, str] | None = None, parent: int = 0) -> list[Column]:
+    """Rows and columns of the cells that a box touches, of the whole world or within one cell of a larger level."""
+    ranges = []
+    for k, (low, high) in enumerate((("_lat0", "_lat1"), ("_lng0", "_lng1"))):
+        first, last = F.floor(F.col(low) / size), F.floor(F.col(high) / size)
+        if within:
+            parts = parent // size
+            first = F.greatest(first, F.col(within[k]) * parts)
+            last = F.least(last, F.col(within[k]) * parts + parts - 1)
+        ranges.append(_range(first, last))
+    return ranges
+
+
+def _whole(size: int) -> Column:
+    """Whether the cell lies entirely inside the box."""
+    row, column = F.col("row") * size, F.col("column") * size
+    return (row >= F.col("_lat0")) & (row + size - 1 <= F.col("_lat1")) & (column >= F.col("_lng0")) & (
+        column + size - 1 <= F.col("_lng1"))
+
+
+def _inside() -> Column:
+    """Observations at those places of a cell that lie inside the box."""
+    kept = F.filter("places", lambda p: in_box(
+        p["lat_e2"], p["lng_e2"], F.col("_lat0"), F.col("_lat1"), F.col("_lng0"), F.col("_lng1")))
+    return F.aggregate(kept, F.lit(0).cast("long"), lambda total, p: total + p["n"])
+
+
+def met_in_cells(boxes: DataFrame, places: DataFrame, subject: list[str]) -> DataFrame:
+    """The cells that answer the boxes: (request_id, subject, year, size, row, column, whole, listed, n).
+
+    A box meets the large cells first.  A cell inside it gives its sum, a cell with few places has those inside the box
+    counted (``listed``), and only a cell that its edge cuts and that has many places is looked at on the finer level.  So a
+    box costs a bounded number of large cells, and finer ones along its edge only where the data are dense.  No place of a box
+    is in two of the cells.
+
+    A cell asked for by many requests is spread by request: the salt of a large cell, from the measured number of requests
+    that touch it, holds for all its parts.
     """
-    sided = boxes.withColumns({
-        "_lat0": _first_e2(F.col("min_lat"), S.MAX_PLOT_LATITUDE), "_lat1": _last_e2(F.col("max_lat"), S.MAX_PLOT_LATITUDE),
-        "_lng0": _first_e2(F.col("min_lng"), S.MAX_PLOT_LONGITUDE),
-        "_lng1": _last_e2(F.col("max_lng"), S.MAX_PLOT_LONGITUDE),
-    }).where("_lat0 <= _lat1 AND _lng0 <= _lng1")
-    part, row = F.col("_part"), F.col("_row")
-    beside = F.concat(
-        _range(part["c0"], F.least(part["hole_c0"] - 1, part["c1"])),
-        _range(F.greatest(part["hole_c1"] + 1, part["c0"]), part["c1"]))
-    columns = F.when(row.between(part["hole_r0"], part["hole_r1"]), beside).otherwise(_range(part["c0"], part["c1"]))
-    return (
-        sided.withColumn("_part", F.explode(_frames()))
-        .withColumn("_row", F.explode(_range(part["r0"], part["r1"])))
-        .withColumn("_column", F.explode(columns))
-        .withColumns({"size": part["size"], "whole": part["whole"], "cell": _cell(row, F.col("_column"))})
-        .drop("_part", "_row", "_column")
-    )
-
-
-def met_in_cells(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> DataFrame:
-    """Requests joined with the counts of their cover cells, before the places of edge cells are tested."""
-    keys = [*subject, "size", "cell", "whole"]
-    levels = F.explode(F.array(*[
-        F.struct(F.lit(size).alias("size"), _cell_of_place(size).alias("cell")) for size in LEVELS_E2]))
-    sums = (
-        counts.select(*subject, "year", "n", levels.alias("_at"))
-        .groupBy(*subject, "_at.size", "_at.cell", "year").agg(F.sum("n").alias("n"))
-        .withColumn("whole", F.lit(True))
-    )
-    places = counts.select(
-        *subject, F.lit(LEVELS_E2[-1]).alias("size"), _cell_of_place(LEVELS_E2[-1]).alias("cell"), "lat_e2", "lng_e2", "year", "n",
-        F.lit(False).alias("whole"))
-    covers = _covers(boxes).select(
-        "request_id", *keys, "_lat0", "_lat1", "_lng0", "_lng1", "min_year", "max_year")
-    return spread_join(places.unionByName(sums, allowMissingColumns=True), covers, keys, spread=1)
-
-
-def years_in_boxes(boxes: DataFrame, counts: DataFrame, subject: list[str]) -> DataFrame:
-    """Observations per request and year inside its box, for boxes of any size and number.
-
-    ``subject`` names the keys a request shares with the counts: the group, or the group and species.  Boxes are
-    covered by grid cells of several sizes and meet the data by an equi-join on subject and cell.  A cell wholly inside
-    its box takes counts already summed per cell and year; only the smallest cells, where the box's edge cuts them, take
-    single places and test them.
+    large, fine = LEVELS_E2
+    large_cells, fine_cells = cell_levels(places, subject)
+    top, parts = [*subject, "row", "column"], large // fine
+    rows, columns = _touched(large)
+    asked = _sided(boxes).select(
+        "request_id", *subject, "_lat0", "_lat1", "_lng0", "_lng1", "min_year", "max_year", columns.alias("_columns"),
+        F.explode(rows).alias("row")).select("*", F.explode("_columns").alias("column")).drop("_columns")
+    crowded = crowded_keys(asked.withColumn("n_rows", F.lit(1)), top, "n_rows")
+    asked = dealt(with_salts(asked, crowded, top), ("request_id",))
+    met = joined_by(
+        asked.withColumn("_s", F.col("_salt")), copied(with_salts(large_cells, crowded, top)), [*top, "_salt"]
+    ).where(F.col("year").between(F.col("min_year"), F.col("max_year")))
+
+    # a cell that needs no closer look goes on as it is, spread by request; it meets no finer cell
+    met = computed(met, _whole=_whole(large))
+    met = computed(
+        met, _open=~F.col("_whole") & F.col("places").isNull(),
+        _n=F.when(F.col("_whole"), F.col("n")).otherwise(_inside()))  # null without a list of places
+    open_ = F.col("_open")
+    rows, columns = _touched(fine, ("row", "column"), large)
+    closer = F.when(open_, F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.struct(
+        r.alias("row"), c.alias("column")))))).otherwise(F.array(F.struct("row", "column")))
+    passed = met.select(
+        "request_id", *subject, "year", "_lat0", "_lat1", "_lng0", "_lng1", "_open", "_whole", "_n", F.size("places").alias("_listed"),
+        F.when(open_, F.col("_s")).otherwise(-1 - F.pmod(F.xxhash64("request_id"), F.lit(SPREAD_ANSWERS))).alias("_salt"),
+        F.inline(closer))
+    owner = crowded.withColumnsRenamed({"_crowded_row": "_crowded__row", "_crowded_column": "_crowded__column"})
+    few = copied(with_salts(
+        fine_cells.select("*", F.floor(F.col("row") / parts).alias("_row"), F.floor(F.col("column") / parts).alias("_column")),
+        owner, [*subject, "_row", "_column"])).drop("_row", "_column")
+    finest = joined_by(passed, few, [*top, "year", "_salt"], "left")
+    finest = computed(
+        finest.where(~open_ | F.col("n").isNotNull()), whole=F.when(open_, _whole(fine)).otherwise(F.col("_whole")))
+    return finest.select(
+        "request_id", *subject, "year", F.when(open_, fine).otherwise(large).alias("size"), "row", "column", "whole",
+        F.when(open_, F.size("places")).otherwise(F.col("_listed")).alias("listed"),
+        F.when(~open_, F.col("_n")).when(F.col("whole"), F.col("n")).otherwise(_inside()).alias("n"))
+
+
+def years_in_boxes(boxes: DataFrame, places: DataFrame, subject: list[str]) -> DataFrame:
+    """Observations per request, subject and year inside its box, for boxes of any size and number.
+
+    ``subject`` names the keys that requests share with the places.
     """
-    inside = in_box(
-        F.col("lat_e2"), F.col("lng_e2"), F.col("_lat0"), F.col("_lat1"), F.col("_lng0"), F.col("_lng1"))
-    return (
-        met_in_cells(boxes, counts, subject)
-        .where(F.col("year").between(F.col("min_year"), F.col("max_year")) & (F.col("whole") | inside))
-        .groupBy("request_id", "year").agg(F.sum("n").alias("n"))
-    )
+    return met_in_cells(boxes, places, subject).groupBy("request_id", *subject, "year").agg(
+        F.sum("n").alias("n")).where("n > 0")
 
 
 def _with_any_data(boxes: DataFrame, counts: DataFrame) -> DataFrame:
@@ -150,7 +179,8 @@ def _with_any_data(boxes: DataFrame, counts: DataFrame) -> DataFrame:
         .where(F.col("_records") > 0).drop("_records")
     )
     return (
-        spread_join(boxes, species, ["orderkey", "specieskey"], spread_by=("request_id",))
+        spread_join(boxes, species, ["orderkey", "specieskey"], spread_by=("request_id",),
+                    sizes=boxes.withColumn("n_rows", F.lit(1)))
         .where(F.exists("_years", lambda year: year.between(F.col("min_year"), F.col("max_year"))))
         .drop("_years")
     )
@@ -163,15 +193,20 @@ def box_trends(counts: DataFrame, requests: DataFrame, min_fit_years: int = S.MI
     The one count table feeds the species and the group side, from one scan and shuffle.
     """
     boxes = with_corners_ordered(requests)
-    seen = years_in_boxes(boxes, counts, ["orderkey", "specieskey"]).groupBy("request_id").agg(
-        sorted_map("year", "n").alias("species_seen"))
-    group = years_in_boxes(boxes, group_point_year(counts), ["orderkey"]).groupBy("request_id").agg(
-        *year_sums(), sorted_map("year", "n").alias("group_counts"))
+    # the places of species and of whole groups (without a species) answer the same boxes in one pass
+    places = counts.select("orderkey", "specieskey", "lat_e2", "lng_e2", "year", "n").unionByName(
+        group_point_year(counts).withColumn("specieskey", F.lit(None).cast("int")))
+    both = boxes.withColumn("specieskey", F.explode(F.array("specieskey", F.lit(None).cast("int"))))
+    of_group = F.col("specieskey").isNull()
+    x = F.when(of_group, (F.col("year") - S.YEAR_ORIGIN).cast("long"))
+    found = years_in_boxes(both, places, ["orderkey", "specieskey"]).groupBy("request_id").agg(
+        sorted_map("year", "n", ~of_group).alias("species_seen"), sorted_map("year", "n", of_group).alias("group_counts"),
+        F.count(x).alias("group_years"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx"))
     none, empty = F.lit(0).cast("long"), F.create_map().cast("map<int,bigint>")
     joined = (
         _with_any_data(boxes, counts)
         .select("request_id", "orderkey", "specieskey", "min_year", "max_year")
-        .join(seen, "request_id", "left").join(group, "request_id", "left")
+        .join(found, "request_id", "left")
         .withColumns({
             "species_seen": F.coalesce("species_seen", empty),
             "group_years": F.coalesce("group_years", none),

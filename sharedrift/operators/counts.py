@@ -39,6 +39,17 @@ def species_point_year_exact(clean: DataFrame, with_name: bool = False) -> DataF
     ).agg(F.count("*").alias("count"))
 
 
+def named_points(clean: DataFrame) -> DataFrame:
+    """Observations per species, name, year and exact coordinate, and how many of them bear the accepted name.
+
+    Points, names and the pyramid all follow from this one table, so the observations are read once.
+    """
+    return clean.groupBy(
+        "orderkey", "specieskey", "scientificname", "year",
+        F.col("decimallatitude").alias("lat"), F.col("decimallongitude").alias("lng"),
+    ).agg(F.count("*").alias("count"), F.count(F.when(F.col("specieskey") == F.col("taxonkey"), 1)).alias("accepted"))
+
+
 def species_point_year(clean: DataFrame) -> DataFrame:
     """Observations per species, year and 0.01-degree place."""
     return clean.groupBy(
@@ -82,6 +93,7 @@ def species_group_wide(counts: DataFrame, group: DataFrame) -> DataFrame:
         counts.withColumnRenamed("n", "speciescount"),
         group.withColumnRenamed("n", "ordercount"),
         [*GROUP_POINT, "year"],
+        sizes=counts.where("n > 0").withColumn("n_rows", F.lit(1)),  # n is tested to share the scan of the counts
     )
 
 

@@ -17,6 +17,19 @@ def species_names(clean: DataFrame) -> DataFrame:
     )
 
 
+def names_of_points(points: DataFrame) -> DataFrame:
+    """The same from ``counts.named_points``."""
+    return (
+        points.groupBy("scientificname", "specieskey").agg(F.sum("accepted").alias("records")).where(F.col("records") > 1)
+    )
+
+
+def groups_of_names(clean: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
+    """The groups in which a species whose name matches was observed, under whatever name; one row each."""
+    keys = matching_names(names, prefix).select("specieskey")
+    return clean.join(keys, "specieskey", "left_semi").select("orderkey").distinct()
+
+
 def matching_names(names: DataFrame, prefix: str, ignore_case: bool = False) -> DataFrame:
     """Names LIKE the prefix; a caller's own ``%`` and ``_`` stay wildcards."""
     pattern = prefix if prefix.endswith("%") else prefix + "%"

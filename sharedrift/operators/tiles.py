@@ -18,6 +18,12 @@ def grid_counts(clean: DataFrame, zoom: int = S.GRID_ZOOM) -> DataFrame:
     return clean.groupBy("specieskey", "year", x.alias("x"), y.alias("y")).agg(F.count("*").alias("count"))
 
 
+def grid_of_points(points: DataFrame, zoom: int = S.GRID_ZOOM) -> DataFrame:
+    """The same from exact points."""
+    x, y = mercator.address(F.col("lat"), F.col("lng"), zoom)
+    return points.groupBy("specieskey", "year", x.alias("x"), y.alias("y")).agg(F.sum("count").alias("count"))
+
+
 def cell_year_counts(
     points: DataFrame, zoom: int = S.JOB_TILE_ZOOM, lookahead: int = S.JOB_CELL_LOOKAHEAD
 ) -> DataFrame:
@@ -37,18 +43,17 @@ def tile_pyramid(
     """Counts per species, tile, look-ahead cell and year at zooms 0 to ``max_zoom``.
 
     ``points`` has one row per exact place, name and year: ``n_points`` counts those rows, ``n_obs`` the observations
-    behind them.  Both add up, so the finest cells are counted once and every coarser zoom is a shift of them.
+    behind them.  Both add up, so the finest cells are counted once and every coarser zoom is a shift of them: zooms down to
+    ``PYRAMID_MIDDLE_ZOOM`` are summed within a shuffle of the finest cells, the rest within one of the middle zoom's cells.
     """
     finest = max_zoom + lookahead
     fx, fy = mercator.address(F.col("lat"), F.col("lng"), finest)
-    base = points.groupBy("orderkey", "specieskey", fx.alias("_fx"), fy.alias("_fy"), "year").agg(
-        F.count("*").alias("n_points"), F.sum("count").alias("n_obs"))
-    levels = base.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom))))
-    up = F.lit(max_zoom) - F.col("z")
-    cells = levels.groupBy(
-        "orderkey", "specieskey", "z",
-        mercator.coarser(F.col("_fx"), up).alias("_cx"), mercator.coarser(F.col("_fy"), up).alias("_cy"), "year",
-    ).agg(F.sum("n_points").alias("n_points"), F.sum("n_obs").alias("n_obs"))
+    base = points.groupBy("orderkey", "specieskey", fx.alias("_cx"), fy.alias("_cy"), "year").agg(
+        F.count("*").alias("n_points"), F.sum("count").alias("n_obs")).withColumn("z", F.lit(max_zoom))
+    middle = min(S.PYRAMID_MIDDLE_ZOOM, max_zoom)
+    lower = _coarser_levels(base, middle, max_zoom, lookahead)
+    upper = _coarser_levels(lower.where(F.col("z") == middle), 0, middle, lookahead).where(F.col("z") < middle)
+    cells = lower.unionByName(upper) if middle else lower
     return cells.select(
         "orderkey", "specieskey", "z",
         mercator.coarser(F.col("_cx"), lookahead).alias("x"),
@@ -58,6 +63,25 @@ def tile_pyramid(
     )
 
 
+def _coarser_levels(cells: DataFrame, first: int, last: int, lookahead: int) -> DataFrame:
+    """Cells of zoom ``last`` summed for all zooms from ``first`` on.
+
+    The cells of one species, year and tile of zoom ``first`` come together in one shuffle, and every level is a hash
+    aggregate on them where they are; a group has at most 4^(last - first + lookahead) rows.
+    """
+    deep = last - first + lookahead
+    tile = {"_tx": mercator.coarser(F.col("_cx"), deep), "_ty": mercator.coarser(F.col("_cy"), deep)}
+    keys = ["orderkey", "specieskey", "year", "_tx", "_ty"]
+    up = F.lit(last) - F.col("z")
+    return (
+        cells.drop("z").withColumns(tile).repartition(*keys)
+        .withColumn("z", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        .groupBy(*keys, "z", mercator.coarser(F.col("_cx"), up).alias("_cx"), mercator.coarser(F.col("_cy"), up).alias("_cy"))
+        .agg(F.sum("n_points").alias("n_points"), F.sum("n_obs").alias("n_obs"))
+        .drop("_tx", "_ty")
+    )
+
+
 def with_group_rows(pyramid: DataFrame) -> DataFrame:
     """The pyramid plus each group as a pseudo-species keyed by its group key, told apart by ``is_group``.
 

@@ -42,6 +42,20 @@ def year_sums() -> list[Column]:
     return [F.count("*").alias("group_years"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx")]
 
 
+def group_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Observations of the group per key and year, and ``n_rows``, how many rows of species they come from.
+
+    Both are tested, so that whatever reads only one of them still reads the same table, from the same shuffle.
+    """
+    return counts.groupBy(*keys, "year").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows")).where(
+        "n IS NOT NULL AND n_rows > 0")
+
+
+def joined_with_group(species: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Year maps of the species beside those of the group at the same place; a place is spread by its rows of species."""
+    return spread_join(species, group_year_maps(totals, keys), keys, sizes=totals)
+
+
 def group_year_maps(totals: DataFrame, keys: list[str]) -> DataFrame:
     """Year -> count of the group per place, with the sums of its years.  ``totals``: one row per (keys, year)."""
     return totals.groupBy(*keys).agg(*year_sums(), sorted_map("year", "n").alias("group_counts"))
@@ -110,10 +124,8 @@ def share_trends(
     if years:
         counts = in_years(counts, *years)
     keys = ["orderkey", *place]
-    totals = counts.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
-    joined = spread_join(
-        species_year_maps(counts, place, min_species_years), group_year_maps(totals, keys), keys
-    )
+    joined = joined_with_group(
+        species_year_maps(counts, place, min_species_years), group_totals(counts, keys), keys)
     return fit_shares(joined, min_fit_years, fill_unfitted)
 
 
@@ -133,8 +145,7 @@ def yearly_shares(counts: DataFrame, place: tuple[str, ...]) -> DataFrame:
     Built from the joined maps, for users who want the rows; the trends above do not need it.
     """
     keys = ["orderkey", *place]
-    totals = counts.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
-    joined = spread_join(species_year_maps(counts, place), group_year_maps(totals, keys), keys)
+    joined = joined_with_group(species_year_maps(counts, place), group_totals(counts, keys), keys)
     return (
         joined
         .select("specieskey", *keys, "species_seen", F.explode("group_counts").alias("year", "group_n"))

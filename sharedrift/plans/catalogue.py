@@ -131,7 +131,7 @@ def species_point_year_exact(spark, sf_dir):
 def species_keyed_read(spark, sf_dir):
     """Exact points stored in order of species, and read back for some species."""
     path = tables.shared_folder(spark)
-    tables.write_parquet(exact_points(spark, sf_dir), path, ["specieskey", "lat", "lng"])
+    tables.write_keyed(exact_points(spark, sf_dir), path, "specieskey", "lat", "lng")
     return filters.of_species(tables.read_points(spark, path), *READ_SPECIES).select(
         "orderkey", "specieskey", "year", *rounded(lat=6, lng=6), "count")
 
@@ -314,10 +314,12 @@ def bbox_trend(spark, sf_dir):
 
 
 def trend_by_name(spark, sf_dir):
-    # two scans on purpose: the name pattern is pushed into the first, the second needs every species of the group
+    # three scans on purpose: the name pattern is pushed into the first, the keys found prune the second to the groups
+    # asked for, and only the observations of those groups are counted in the third
     base = clean(spark, sf_dir)
-    found = names.trends_by_name(
-        names.species_names(base), NAME_PATTERN, trends.species_trends(counts.species_years(base)))
+    known = names.species_names(base)
+    asked = base.join(names.groups_of_names(base, known, NAME_PATTERN), "orderkey", "left_semi")
+    found = names.trends_by_name(known, NAME_PATTERN, trends.species_trends(counts.species_years(asked)))
     return found.select("specieskey", "scientificname", "orderkey", "group_years",
                         *rounded(slope=9, significance=6))
 

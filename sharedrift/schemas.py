@@ -21,6 +21,11 @@ OCCURRENCE = _struct(
 # species x year x exact coordinate
 POINTS = _struct(orderkey=_INT, specieskey=_INT, year=_INT, lat=_DOUBLE, lng=_DOUBLE, count=_LONG)
 
+# the same per name; ``accepted`` counts the observations whose name is the species' accepted one
+NAMED_POINTS = _struct(
+    orderkey=_INT, specieskey=_INT, scientificname=_TEXT, year=_INT, lat=_DOUBLE, lng=_DOUBLE, count=_LONG, accepted=_LONG,
+)
+
 # species x year x place rounded to 0.01 degree; the rounded place is held as integer hundredths
 SPECIES_POINT_YEAR = _struct(
     orderkey=_INT, specieskey=_INT, lat_e2=_INT, lng_e2=_INT, year=_INT, n=_LONG,
@@ -36,6 +41,7 @@ GROUP_FEATURE_TEXT = _struct(orderkey=_INT, geom=_TEXT, yearcounts=_TEXT)
 NAMES = _struct(specieskey=_INT, scientificname=_TEXT)
 WIDE_RECORD_TEXT = _struct(specieskey=_INT, geom=_TEXT, year=_INT, speciescount=_LONG, ordercount=_LONG)
 TILE_JSON = _struct(specieskey=_INT, z=_INT, x=_LONG, y=_LONG, json=_TEXT)
+TILE_JSON_WITH_GROUPS = _struct(specieskey=_INT, z=_INT, x=_LONG, y=_LONG, is_group=_FLAG, json=_TEXT)
 
 BOX_REQUEST = _struct(
     request_id=_LONG, orderkey=_INT, specieskey=_INT, lat_a=_DOUBLE, lng_a=_DOUBLE, lat_b=_DOUBLE, lng_b=_DOUBLE,

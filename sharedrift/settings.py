@@ -35,7 +35,15 @@ SLOPE_BREAKS = (0.0008, 0.0006, 0.0004, 0.0002, 0.0, -0.0002, -0.0004, -0.0006,
 # Years are shifted by this origin before they are squared, so the sums stay exact in a bigint.
 YEAR_ORIGIN = 2000
 
-# Tasks over which one crowded join key is spread, and copies made of the small side.  See operators/joins.py.
+# Rows of a join key that one task takes; a key with more is spread, and the small side copied, as often as its measured
+# rows ask for.  At most so many keys are spread, the largest.  See operators/joins.py.
+ROWS_PER_COPY = 500
+MOST_CROWDED_KEYS = 10_000
+
+# Zoom at which the pyramid is cut in two: the cells of a tile of this zoom are summed together.
+PYRAMID_MIDDLE_ZOOM = 4
+
+# Tasks over which every key of a join is spread where its rows have not been measured.
 JOIN_SPREAD = 8
 
 # A line end this small beside the line's other end is zero: what is left of it is floating-point noise.

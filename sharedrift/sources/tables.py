@@ -30,6 +30,14 @@ def write_parquet(df: DataFrame, path: str, sort_by: list[str] | None = None, **
     df.write.mode("overwrite").options(**options).parquet(path)
 
 
+def write_keyed(df: DataFrame, path: str, key: str, *then: str) -> None:
+    """A table that is read by one key: sorted by it, with a Bloom filter of it in every row group.
+
+    Files and row groups without the key are skipped, by their range of keys or else by the filter.
+    """
+    write_parquet(df, path, [key, *then], **{f"parquet.bloom.filter.enabled#{key}": "true"})
+
+
 def write_orc(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").orc(path)
 
@@ -51,22 +59,26 @@ def compact(df: DataFrame, path: str) -> None:
     df.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
-def write_by_zoom(df: DataFrame, path: str, *key: str) -> None:
+def write_by_zoom(df: DataFrame, path: str, *key: str, keep_other_zooms: bool = False) -> None:
     """One folder per zoom, rows ordered by ``key`` within files, so a tile is read from few files.
 
-    The key should be unique: the single tile of zoom 0 is then cut into as many files as its size asks for.
+    The key should be unique: the single tile of zoom 0 is then cut into as many files as its size asks for.  With
+    ``keep_other_zooms`` only the zooms that the rows have are replaced: their new files are written aside and exchanged
+    when all tasks are done, so a job that fails leaves the table as it was.
     """
     order = ["z", *key]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("z").parquet(path)
+    how = "dynamic" if keep_other_zooms else "static"
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option(
+        "partitionOverwriteMode", how).partitionBy("z").parquet(path)
 
 
-def write_tiles(documents: DataFrame, path: str) -> None:
+def write_tiles(documents: DataFrame, path: str, keep_other_zooms: bool = False) -> None:
     """Tile documents keyed by (z, species, x, y)."""
-    write_by_zoom(documents, path, "specieskey", "x", "y")
+    write_by_zoom(documents, path, "specieskey", "x", "y", keep_other_zooms=keep_other_zooms)
 
 
-def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet(spark, path, schemas.TILE_JSON)
+def read_tiles(spark: SparkSession, path: str, with_groups: bool = False) -> DataFrame:
+    return read_parquet(spark, path, schemas.TILE_JSON_WITH_GROUPS if with_groups else schemas.TILE_JSON)
 
 
 # Tab-delimited exchange -------------------------------------------------------------------------------------------
@@ -115,16 +127,68 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 
 # Shared scratch ---------------------------------------------------------------------------------------------------
 
+_scopes: list["Scratch"] = []
+
+
+class Scratch:
+    """The scratch folders made inside a ``with`` block; they are deleted at its end, when their results are written.
+
+    Folders made outside any block are deleted when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folders: list[str] = []
+
+    def __enter__(self) -> "Scratch":
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self)
+        for path in self.folders:
+            _delete(self.spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder on storage that the driver and all executors share: below the folder ``spark.checkpoint.dir``
-    names, else below the session's warehouse.  The caller may delete it once nothing reads it any more."""
+    names, else below the session's warehouse.  It belongs to the innermost ``Scratch``, else to the application.
+
+    A folder of the local disk is refused on a cluster: each executor would write to its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/sharedrift-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/sharedrift-{uuid.uuid4().hex}"
+    at, files = _file_system(spark, path)
+    if files.getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{base} is local to each machine; spark.checkpoint.dir must name a folder that all share")
+    if _scopes:
+        _scopes[-1].folders.append(path)
+    else:
+        files.deleteOnExit(at)
+    return path
 
 
 def written_once(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder: a result used several times is computed once, and
-    a lost executor costs a re-read."""
+    a lost executor costs a re-read.  ``discard`` deletes it earlier than its scope does."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``written_once`` that nothing reads any more: whatever was made of them is itself written."""
+    for df in written:
+        _delete(df.sparkSession, df._scratch_path)

@@ -117,7 +117,7 @@ def test_small_boxes_on_dense_places(spark):
 
 
 def test_box_joins_grow_with_their_answers(spark):
-    """10,000 places in one degree: a small box meets the places of the 0.2-degree cells it cuts, a large one meets sums."""
+    """10,000 places in one degree: a small box meets the places of the half-degree cells it cuts, a large one meets sums."""
     places = spark.range(10_000).select(
         F.lit(0).alias("orderkey"), F.lit(1).alias("specieskey"), (F.col("id") / 100).cast("int").alias("lat_e2"),
         (F.col("id") % 100).cast("int").alias("lng_e2"), F.lit(1990).alias("year"), F.lit(1).cast("long").alias("n"))
@@ -128,21 +128,24 @@ def test_box_joins_grow_with_their_answers(spark):
 
     small = [(i, 0, 1, i % 90 / 100, i % 80 / 100, i % 90 / 100 + 0.01, i % 80 / 100 + 0.01, 1990, 1990) for i in range(300)]
     assert met(small) <= 300 * 4 * 400 < 300 * 10_000
-    assert met([(0, 0, 1, 0.0, 0.0, 0.995, 0.995, 1990, 1990)]) == 1  # the whole degree: one sum
+    assert met([(0, 0, 1, 0.0, 0.0, 0.995, 0.995, 1990, 1990)]) == 4  # the whole degree: four sums of half a degree
     assert met([(0, 0, 1, -85.0, -180.0, 85.0, 180.0, 1990, 1990)]) == 1
 
 
-def test_covers_tile_a_box_once(spark):
-    """Every place of a box lies in exactly one of its cover cells."""
-    rows = [(0, 0, 1, -7.31, 3.02, 9.47, 20.0, 1, 2), (1, 0, 1, 0.0, 0.0, 0.0, 0.0, 1, 2), (2, 0, 1, -0.07, -0.2, 0.19, 0.19, 1, 2)]
-    found = boxes._covers(boxes.with_corners_ordered(spark.createDataFrame(rows, schemas.BOX_REQUEST))).collect()
+def test_cells_tile_a_box_once(spark):
+    """Where every place has data, each place of a box lies in exactly one of the cells that answer it."""
+    rows = [(0, 0, 1, -1.31, 0.02, 1.47, 3.0, 1, 2), (1, 0, 1, 0.0, 0.0, 0.0, 0.0, 1, 2), (2, 0, 1, -0.07, -0.2, 0.19, 0.19, 1, 2)]
+    places = spark.range(600 * 600).select(
+        F.lit(0).alias("orderkey"), F.lit(1).alias("specieskey"), (F.floor(F.col("id") / 600) - 200).cast("int").alias("lat_e2"),
+        (F.col("id") % 600 - 200).cast("int").alias("lng_e2"), F.lit(1).alias("year"), F.lit(1).cast("long").alias("n"))
+    asked = boxes.with_corners_ordered(spark.createDataFrame(rows, schemas.BOX_REQUEST))
+    found = boxes.met_in_cells(asked, places, ["orderkey", "specieskey"]).collect()
     for rid, _, _, a, b, c, d, _, _ in rows:
         lat, lng = (np.arange(round(x * 100), round(y * 100) + 1) for x, y in ((a, c), (b, d)))
         seen = np.zeros((len(lat), len(lng)), dtype=int)
         for r in (r for r in found if r["request_id"] == rid):
-            row, column = r["cell"] // 10000 - 1000, r["cell"] % 10000 - 1000
-            inside = np.outer(lat // r["size"] == row, lng // r["size"] == column)
-            assert inside.any() and (not r["whole"] or inside.sum() == r["size"] ** 2)
+            inside = np.outer(lat // r["size"] == r["row"], lng // r["size"] == r["column"])
+            assert inside.any() and inside.sum() == r["n"] and (not r["whole"] or inside.sum() == r["size"] ** 2)
             seen += inside
         assert (seen == 1).all()
 
