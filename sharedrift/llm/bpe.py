@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries inside Spark tasks.
 
-Encoding: a text is cut into words by the tokenizer's pattern.  Words that are not tokens themselves become rows (word,
-position, token), one per byte.  A recursive query joins neighbouring tokens with the merge table and contracts each word's
-leftmost pair of minimum rank until no pair of it can merge.  Every distinct word is solved once per task; results are kept
-for the next batch up to ``CACHE_WORDS`` (then the cache starts afresh).
+Encoding: a text is cut into words by the tokenizer's pattern.  Words that are not tokens themselves begin as their bytes.  A
+recursive query joins rows of (word, position, token and the next) with the merge table and contracts each word's leftmost
+pair of minimum rank until no pair of it can merge.  Distinct words are solved once; results are kept for the next batches in
+two generations of bounded size, the older of which is dropped when the newer is full.
 
-Long words: occurrences of the minimum rank elsewhere in the word are contracted in the same step if no later pair can get
-a lower rank through it (``safe``, a property of the vocabulary); the result is the same, in far fewer steps.
+Long words: a pair that no pair of lower rank can reach before it is merged is contracted in the same step, anywhere in the word
+(``ENCODE_LONG``); the result is the same, in far fewer steps.  That holds where every token ranks behind its two parts; with
+another vocabulary long words are contracted pair by pair.
 
 Decoding: token ids are unnested with their positions, joined with the vocabulary and aggregated in order of position.
 
@@ -17,6 +18,7 @@ vocabulary cannot spell is an error, as is an id outside it.
 
 import base64
 import re
+import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -27,34 +29,35 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 700_000  # distinct words and chunks a worker keeps
+KEPT_BYTES = 40_000_000  # of the newer generation of words and chunks that a worker keeps
+KEPT_WORD = 4096  # characters of the longest that is kept
+ENTRY_BYTES = 200  # what a kept word takes beside its characters and ids
 QUERY_WORDS = 20_000  # words in one recursive query
 QUERY_IDS = 500_000  # ids in one decoding query
 SLICE_BYTES = 2_000_000  # text or ids handled at once
-LONG_WORD = 64  # bytes from which equal pairs are contracted together
-DUCKDB_MEMORY = "200MB"
+LONG_WORD = 64  # bytes from which many pairs are contracted in a step
+DUCKDB_MEMORY = "120MB"
 
 LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
-# A step contracts the leftmost pair of minimum rank of every word.
+# A step contracts the leftmost pair of minimum rank of every word that has a pair.  A word's tokens travel as a list; its
+# neighbouring tokens become rows with their positions only to meet the merge table.
 ENCODE = """
-WITH RECURSIVE state(done, w, i, tok) AS (
-  SELECT false, w, i, tok FROM seed
+WITH RECURSIVE state(step, w, tokens) AS (
+  SELECT 0, w, tokens FROM seed
   UNION ALL
-  SELECT best IS NULL, w, i, CASE WHEN place = best THEN m ELSE tok END
+  SELECT step + 1, w, tokens[:i - 1] || [m] || tokens[i + 2:]
   FROM (
-    SELECT w, i, tok, m, place, min(place) OVER (PARTITION BY w) AS best,
-           lag(place) OVER (PARTITION BY w ORDER BY i) AS before
-    FROM (
-      SELECT w, i, tok, m, m * 16777216 + i AS place
-      FROM (SELECT w, i, tok, lead(tok) OVER (PARTITION BY w ORDER BY i) AS nxt FROM state WHERE NOT done) AS p
-      LEFT JOIN merges ON merges.pair = p.tok * 65536 + p.nxt))
-  WHERE best IS NULL OR before IS DISTINCT FROM best
+    SELECT w, min(merges.m * 1099511627776 + i) AS place
+    FROM (SELECT w, unnest(tokens[:-2]) AS tok, unnest(tokens[2:]) AS nxt, unnest(range(1, len(tokens))) AS i FROM state) AS p
+    JOIN merges ON merges.pair = p.tok * 65536 + p.nxt GROUP BY w) AS best
+  JOIN (FROM state) AS s USING (w), LATERAL (SELECT place % 1099511627776 AS i, place // 1099511627776 AS m)
 )
-SELECT w, list(tok ORDER BY i) AS ids FROM state WHERE done GROUP BY w
+SELECT w, arg_max(tokens, step) AS ids FROM state GROUP BY w
 """
 
-# For long words: also every other occurrence of the minimum rank, leftmost first where occurrences overlap, if safe.
+# For long words, many pairs a step: those whose rank is the least among all within ``reach`` places (no token of these bytes
+# is longer, so nothing farther away can take part before them), and of neighbouring pairs of equal rank every other one.
 ENCODE_LONG = """
 WITH RECURSIVE state(done, w, i, tok) AS (
   SELECT false, w, i, tok FROM seed
@@ -63,15 +66,17 @@ WITH RECURSIVE state(done, w, i, tok) AS (
   FROM (
     SELECT w, i, tok, m, best, hit, lag(hit) OVER (PARTITION BY w ORDER BY i) AS eaten
     FROM (
-      SELECT w, i, tok, m, best,
-             place = best OR (safe AND m = best // 16777216 AND (nth - before_run) % 2 = 1) AS hit
+      SELECT w, i, tok, m, best, least_here AND run % 2 = 1 AND (nth - run // 2) % 2 = 0 AS hit
       FROM (
-        SELECT *, max(CASE WHEN m IS DISTINCT FROM best // 16777216 THEN nth ELSE 0 END)
-                    OVER (PARTITION BY w ORDER BY nth) AS before_run
+        -- a run of equal pairs waits until its first is the least about it; only then is known where it begins
+        SELECT *, max(CASE WHEN m IS DISTINCT FROM before THEN nth * 2 + least_here::INTEGER END) OVER (PARTITION BY w ORDER BY i) AS run
         FROM (
-          SELECT *, min(place) OVER (PARTITION BY w) AS best, row_number() OVER (PARTITION BY w ORDER BY i) AS nth
+          SELECT w, i, tok, m, min(m) OVER (PARTITION BY w) AS best, lag(m) OVER (PARTITION BY w ORDER BY i) AS before,
+                 row_number() OVER (PARTITION BY w ORDER BY i) AS nth,
+                 coalesce(m = min(m) OVER (
+                   PARTITION BY w ORDER BY i ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING), false) AS least_here
           FROM (
-            SELECT w, i, tok, m, safe, m * 16777216 + i AS place
+            SELECT w, i, tok, m
             FROM (SELECT w, i, tok, lead(tok) OVER (PARTITION BY w ORDER BY i) AS nxt FROM state WHERE NOT done) AS p
             LEFT JOIN merges ON merges.pair = p.tok * 65536 + p.nxt)))))
   WHERE NOT coalesce(eaten, false)
@@ -100,9 +105,12 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.vocabulary = np.fromiter(self.ranks.values(), dtype=np.uint32)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
         self.byte_rank = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
         self.db = duckdb.connect()
-        self.db.execute(f"SET threads = 1; SET memory_limit = '{DUCKDB_MEMORY}'")
+        self.folder = tempfile.TemporaryDirectory()  # goes with this object
+        self.db.execute(f"SET threads = 1; SET memory_limit = '{DUCKDB_MEMORY}'; SET temp_directory = '{self.folder.name}'")
         self.tables: set[str] = set()
 
     def _need(self, name: str, content) -> None:
@@ -120,8 +128,13 @@ class Codec:
             if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None],
             dtype=np.int64).reshape(-1, 3)
         left, right, merged = rows.T
-        unsafe = np.union1d(left[left > merged], right[right > merged])
-        return pa.table({"pair": left * 65536 + right, "m": merged, "safe": ~np.isin(merged, unsafe)})
+        self.behind_parts = bool((np.maximum(left, right) < merged).all())
+        return pa.table({"pair": left * 65536 + right, "m": merged})
+
+    def _reach(self, raw: np.ndarray) -> int:
+        """Bytes of the longest token made of some bytes only."""
+        present = set(raw.tolist())
+        return max((len(token) for token in self.ranks if present.issuperset(token)), default=1)
 
     def _vocab(self) -> pa.Table:
         return pa.table({"id": self.vocabulary, "chars": [token.decode("latin-1") for token in self.ranks]})
@@ -134,20 +147,24 @@ class Codec:
             size = 0
             for word in todo:
                 if group and (len(group) >= QUERY_WORDS or size > QUERY_IDS):
-                    self._contract(group, ENCODE_LONG if is_long else ENCODE)
+                    self._contract(group, is_long)
                     group, size = [], 0
                 group.append(word)
                 size += len(word)
             if group:
-                self._contract(group, ENCODE_LONG if is_long else ENCODE)
+                self._contract(group, is_long)
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += ENTRY_BYTES + len(word) + len(ids)
 
-    def _contract(self, words: list[str], query: str) -> None:
+    def _contract(self, words: list[str], is_long: bool) -> None:
         coded = [w.encode() for w in words]
         whole = [self.ranks.get(b) for b in coded]
         rest = [n for n, rank in enumerate(whole) if rank is None]
         for word, rank in zip(words, whole):
             if rank is not None:
-                self.known[word] = rank.to_bytes(4, "little")
+                self._keep(word, rank.to_bytes(4, "little"))
         if not rest:
             return
         sizes = np.array([len(coded[n]) for n in rest], dtype=np.int64)
@@ -155,16 +172,21 @@ class Codec:
         tokens = self.byte_rank[raw]
         if (tokens < 0).any():
             raise ValueError("a byte of the text is not in the vocabulary")
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         self._need("merges", self._merges)
-        self.db.register("seed", pa.table({
-            "w": np.repeat(np.array(rest, dtype=np.int64), sizes), "i": np.arange(len(raw)) - starts, "tok": tokens}))
+        ends, numbers = np.cumsum(sizes), np.array(rest, dtype=np.int64)
+        if is_long and self.behind_parts:
+            query = ENCODE_LONG.format(reach=self._reach(np.unique(raw)))
+            seed = {"w": np.repeat(numbers, sizes), "i": np.arange(len(raw)) - np.repeat(ends - sizes, sizes), "tok": tokens}
+        else:
+            query = ENCODE
+            seed = {"w": numbers, "tokens": pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), pa.array(tokens))}
+        self.db.register("seed", pa.table(seed))
         solved = self.db.sql(query).to_arrow_table().combine_chunks()
         ids = solved["ids"].chunk(0)
         packed = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
         ends = ids.offsets.to_numpy() * 4
         for n, a, b in zip(solved["w"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-            self.known[words[n]] = packed[a:b]
+            self._keep(words[n], packed[a:b])
 
     def chunks(self, text: str) -> list[str]:
         """Cut before every space that something other than white space follows: no word of the pattern spans it."""
@@ -175,17 +197,29 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        if self.size > KEPT_BYTES:
+            self.older, self.known, self.size = self.known, {}, 0
         cut = [self.chunks(text) for text in texts]
-        new = {chunk for chunks in cut for chunk in chunks if chunk not in self.known}
+        new = self._unknown(set().union(*cut))
         words = {chunk: self.pattern.findall(chunk) for chunk in new}
-        self.solve(list({w for found in words.values() for w in found if w not in self.known}))
+        self.solve(list(self._unknown({w for found in words.values() for w in found})))
+        known = self.known
         for chunk, found in words.items():
             if len(found) != 1:
-                self.known[chunk] = b"".join([self.known[w] for w in found])
-        known = self.known
-        return [b"".join([known[chunk] for chunk in chunks]) for chunks in cut]
+                self._keep(chunk, b"".join([known[w] for w in found]))
+        ids = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        for some in (words, *words.values()):
+            for word in some:
+                if len(word) > KEPT_WORD:
+                    known.pop(word, None)
+        return ids
+
+    def _unknown(self, words: set[str]) -> set[str]:
+        """Those not known yet; what only the older generation knows is taken over."""
+        new = words.difference(self.known)
+        for word in new.intersection(self.older):
+            self._keep(word, self.older[word])
+        return new.difference(self.older)
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of packed ids; a long sequence is decoded in pieces."""
@@ -229,38 +263,41 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _append(batches: Iterator[pa.RecordBatch], source: str, target: str, work) -> Iterator[pa.RecordBatch]:
-    """Add a binary column computed from another, in slices of bounded size."""
-    for batch in batches:
-        values = batch.column(source)
-        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            part = batch.slice(a, b - a)
-            result = pa.array(work(part.column(source).to_pylist()), type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, result], names=[*batch.schema.names, target])
+def _appended(rows: DataFrame, source: str, targets: list[str], work) -> DataFrame:
+    """Add binary columns computed from another, in slices of bounded size."""
+    rows = rows.drop(*targets)
 
+    def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(source)
+            sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                part = batch.slice(a, b - a)
+                found = [pa.array(column, type=pa.binary()) for column in work(part.column(source).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*batch.schema.names, *targets])
 
-def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the column ``ids``: the text's token ids, packed as little-endian unsigned 32-bit integers."""
-    docs = docs.drop(ids)
+    return rows.mapInArrow(batchwise, rows.withColumns({target: F.lit(b"") for target in targets}).schema)
 
-    def work(texts: list[str | None]) -> list[bytes]:
-        return _codec(rank_file, pattern).encode([t or "" for t in texts])
 
-    return docs.mapInArrow(
-        lambda batches: _append(batches, text, ids, work), docs.withColumn(ids, F.lit(b"")).schema)
+def encode(
+    docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
+) -> DataFrame:
+    """Add the column ``ids``: the text's token ids, packed as little-endian unsigned 32-bit integers.
 
+    With ``decoded``, the ids are decoded in the same pass, into a column of that name, as ``decode`` would.
+    """
+    def work(texts: list[str | None]) -> list[list[bytes]]:
+        codec = _codec(rank_file, pattern)
+        packed = codec.encode([t or "" for t in texts])
+        return [packed, codec.decode(packed)] if decoded else [packed]
 
-def decode(coded: DataFrame, rank_file: bytes, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add the column ``decoded``: the bytes that packed ids stand for."""
-    coded = coded.drop(decoded)
+    return _appended(docs, text, [ids, decoded] if decoded else [ids], work)
 
-    def work(packed: list[bytes | None]) -> list[bytes]:
-        return _codec(rank_file, pattern).decode([b or b"" for b in packed])
 
-    return coded.mapInArrow(
-        lambda batches: _append(batches, ids, decoded, work), coded.withColumn(decoded, F.lit(b"")).schema)
+def decode(coded: DataFrame, rank_file: bytes, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add the column ``decoded``: the bytes that packed ids stand for."""
+    return _appended(coded, ids, [decoded], lambda packed: [_codec(rank_file, pattern).decode([b or b"" for b in packed])])
 
 
 def n_tokens(ids: Column) -> Column:

@@ -23,12 +23,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = bpe.read_ranks(RANK_FILE)
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    digests = coded.select(
-        "doc_id", "ids", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    return bpe.decode(digests, ranks, public_tokenizers.PATTERN).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, bpe.read_ranks(RANK_FILE), public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
+        "doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +89,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.read_model(PIECE_MODEL)
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    digests = coded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.ids_text(F.col("ids")), 256).alias("ids_sha256"),
-        "agrees")
-    return pieces.decode(digests, model).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, pieces.read_model(PIECE_MODEL), decoded="decoded").drop("text")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
