@@ -31,10 +31,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, packed, with their number and a check that they decode to the text."""
-    ranks = bpe.read_ranks(RANK_FILE)
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(coded, ranks, public_tokenizers.PATTERN)
-    return decoded.select(
+    coded = bpe.encode(
+        docs.select("doc_id", "source", "text"), bpe.read_ranks(RANK_FILE), public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
         "doc_id", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
