@@ -6,8 +6,7 @@ pair of minimum rank until no pair of it can merge.  Distinct words are solved o
 two generations of bounded size, the older of which is dropped when the newer is full.
 
 Long words: a pair that no pair of lower rank can reach before it is merged is contracted in the same step, anywhere in the word
-(``ENCODE_LONG``); the result is the same, in far fewer steps.  That holds where every token ranks behind its two parts; with
-another vocabulary long words are contracted pair by pair.
+(``ENCODE_LONG``); the result is the same, in far fewer steps.
 
 Decoding: token ids are unnested with their positions, joined with the vocabulary and aggregated in order of position.
 
@@ -57,14 +56,16 @@ SELECT w, arg_max(tokens, step) AS ids FROM state GROUP BY w
 """
 
 # For long words, many pairs a step: those whose rank is the least among all within ``reach`` places (no token of these bytes
-# is longer, so nothing farther away can take part before them), and of neighbouring pairs of equal rank every other one.
+# is longer, so nothing farther away can take part before them), and of neighbouring pairs of equal rank every other one.  Where
+# a merge can make a pair of lower rank (not ``safe``), only the leftmost of equal rank counts as least.  A place keeps its latest
+# token only; -1 where it was merged into the one before.
 ENCODE_LONG = """
-WITH RECURSIVE state(done, w, i, tok) AS (
+WITH RECURSIVE state(done, w, i, tok) USING KEY (w, i) AS (
   SELECT false, w, i, tok FROM seed
   UNION ALL
-  SELECT best IS NULL, w, i, CASE WHEN hit THEN m ELSE tok END
+  SELECT best IS NULL, w, i, CASE WHEN eaten THEN -1 WHEN hit THEN m ELSE tok END
   FROM (
-    SELECT w, i, tok, m, best, hit, lag(hit) OVER (PARTITION BY w ORDER BY i) AS eaten
+    SELECT w, i, tok, m, best, hit, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY i), false) AS eaten
     FROM (
       SELECT w, i, tok, m, best, least_here AND run % 2 = 1 AND (nth - run // 2) % 2 = 0 AS hit
       FROM (
@@ -73,15 +74,14 @@ WITH RECURSIVE state(done, w, i, tok) AS (
         FROM (
           SELECT w, i, tok, m, min(m) OVER (PARTITION BY w) AS best, lag(m) OVER (PARTITION BY w ORDER BY i) AS before,
                  row_number() OVER (PARTITION BY w ORDER BY i) AS nth,
-                 coalesce(m = min(m) OVER (
+                 coalesce(place = min(place) OVER (
                    PARTITION BY w ORDER BY i ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING), false) AS least_here
           FROM (
-            SELECT w, i, tok, m
-            FROM (SELECT w, i, tok, lead(tok) OVER (PARTITION BY w ORDER BY i) AS nxt FROM state WHERE NOT done) AS p
+            SELECT w, i, tok, m, m * 1099511627776 + CASE WHEN safe THEN 0 ELSE i END AS place
+            FROM (SELECT w, i, tok, lead(tok) OVER (PARTITION BY w ORDER BY i) AS nxt FROM state WHERE NOT done AND tok >= 0) AS p
             LEFT JOIN merges ON merges.pair = p.tok * 65536 + p.nxt)))))
-  WHERE NOT coalesce(eaten, false)
 )
-SELECT w, list(tok ORDER BY i) AS ids FROM state WHERE done GROUP BY w
+SELECT w, list(tok ORDER BY i) AS ids FROM state WHERE tok >= 0 GROUP BY w
 """
 
 # Bytes stand as characters of the same number, so they can be concatenated as text.
@@ -128,8 +128,8 @@ class Codec:
             if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None],
             dtype=np.int64).reshape(-1, 3)
         left, right, merged = rows.T
-        self.behind_parts = bool((np.maximum(left, right) < merged).all())
-        return pa.table({"pair": left * 65536 + right, "m": merged})
+        unsafe = np.union1d(left[left > merged], right[right > merged])
+        return pa.table({"pair": left * 65536 + right, "m": merged, "safe": ~np.isin(merged, unsafe)})
 
     def _reach(self, raw: np.ndarray) -> int:
         """Bytes of the longest token made of some bytes only."""
@@ -174,7 +174,7 @@ class Codec:
             raise ValueError("a byte of the text is not in the vocabulary")
         self._need("merges", self._merges)
         ends, numbers = np.cumsum(sizes), np.array(rest, dtype=np.int64)
-        if is_long and self.behind_parts:
+        if is_long:
             query = ENCODE_LONG.format(reach=self._reach(np.unique(raw)))
             seed = {"w": np.repeat(numbers, sizes), "i": np.arange(len(raw)) - np.repeat(ends - sizes, sizes), "tok": tokens}
         else:
