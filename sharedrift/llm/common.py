@@ -20,3 +20,12 @@ def words_of(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """128 bits of a text, so rows that share an id but not a text stay apart; null differs from empty."""
     return F.unhex(F.md5(F.concat(F.lit("t"), text)))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none can meet a name used inside an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unwrapped(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(row)[c].alias(c) for c in columns])

@@ -14,7 +14,8 @@ columns are ignored by the measures and kept by ``kept_documents`` and ``cleaned
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sharedrift.llm.common import SPACE, text_key, words_of
+from sharedrift.llm.common import SPACE, text_key, unwrapped, whole_row, words_of
+from sharedrift.sources.tables import written_once
 
 LINE_LIMIT = 10
 MIN_KEPT = 0.3
@@ -87,7 +88,7 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, min_kept: float = MIN_KEPT)
     found = measures(docs).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("_copies"),
         *[F.first(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    lines = line_words(docs)
+    lines = written_once(line_words(docs))  # split and hashed once, for the counts and for the sums
     common = boilerplate(lines, limit)
     # the lines of a document are summed before they meet its measures
     removed = lines.alias("l").join(common.alias("c"), F.expr("l.source <=> c.source AND l.line = c.line"), "left_semi").groupBy(
@@ -108,13 +109,17 @@ def quality(docs: DataFrame) -> DataFrame:
         "_copy", "_copies", "_text")
 
 
+def _kept_rows(docs: DataFrame, limit: int) -> DataFrame:
+    """The rows of documents that are kept, each whole in ``row``, with their keys.  Texts pass one shuffle, unsorted."""
+    rejected = judge(docs, limit).filter("NOT kept").select(*KEY)
+    rows = docs.select("doc_id", "source", text_key(F.col("text")).alias("_text"), whole_row(docs).alias("row"))
+    return rows.alias("d").join(rejected.hint("shuffle_hash").alias("r"), F.expr(
+        "d.doc_id <=> r.doc_id AND d.source <=> r.source AND d._text <=> r._text"), "left_anti")
+
+
 def kept_documents(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """The rows of documents that are kept, with all their columns."""
-    rejected = judge(docs, limit).filter("NOT kept").select(*[F.col(c).alias(f"_{c}_rejected") for c in KEY])
-    match = (
-        F.col("doc_id").eqNullSafe(F.col("_doc_id_rejected")) & F.col("source").eqNullSafe(F.col("_source_rejected"))
-        & text_key(F.col("text")).eqNullSafe(F.col("__text_rejected")))
-    return docs.join(rejected, match, "left_anti")
+    return unwrapped(_kept_rows(docs, limit), "row", docs.columns)
 
 
 def cleaned_documents(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
@@ -122,13 +127,13 @@ def cleaned_documents(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
 
     Other lines stay as they are, in their order; a text without boilerplate is unchanged.
     """
-    kept, common = kept_documents(docs, limit), boilerplate(line_words(docs), limit)
-    lines = kept.select("doc_id", "source", "text", text_key(F.col("text")).alias("_text")).dropDuplicates(KEY).select(
+    kept, common = _kept_rows(docs, limit), boilerplate(line_words(docs), limit)
+    lines = kept.select(*KEY, F.col("row.text").alias("text")).dropDuplicates(KEY).select(
         *KEY, F.posexplode(F.split("text", "\n")).alias("at", "_own")).withColumn("line", F.unhex(F.md5(_normal(F.col("_own")))))
     left = lines.alias("l").join(common.alias("c"), F.expr("l.source <=> c.source AND l.line = c.line"), "left_anti").groupBy(
         *KEY).agg(F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("at", "_own"))), lambda x: x["_own"]), "\n").alias("_cleaned"))
-    joined = kept.withColumn("_text", text_key(F.col("text"))).alias("d").join(
+            F.sort_array(F.collect_list(F.struct("at", "_own"))), lambda x: x["_own"]), "\n").alias("cleaned"))
+    joined = kept.alias("d").join(
         left.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.source <=> r.source AND d._text = r._text"), "left")
     # kept documents have words left, so each has lines
-    return joined.select(*[F.col("_cleaned").alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns])
+    return joined.select(*[F.col("cleaned").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

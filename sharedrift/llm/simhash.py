@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sharedrift.llm.common import text_key, unwrapped, whole_row
 from sharedrift.llm.components import components
 from sharedrift.sources.tables import written_once
 
@@ -61,19 +62,19 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(
-    docs: DataFrame, keep: list[str], shingle_words: int = SHINGLE_WORDS, name: str = "fp",
-) -> DataFrame:
-    """The columns ``keep`` and the fingerprint as a signed bigint."""
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, key, fp): the document's id, the hash of its text, and the fingerprint as a signed bigint."""
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.coalesce(text_key(F.col("text")), F.lit(b"")).alias("key"),
+        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_buffer().to_pybytes(), shingle_words) for t in batch.column("_text")]
+            found = [fingerprint(t.as_buffer().to_pybytes(), shingle_words) for t in batch.column("text")]
             fp = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=["id", "key", "fp"])
 
-    return rows.mapInArrow(work, rows.select(*keep, F.lit(0).cast("long").alias(name)).schema)
+    return rows.mapInArrow(work, rows.select("id", "key", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def hex_of(fp: Column) -> Column:
@@ -179,25 +180,38 @@ def links(found: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest id reachable through links) and component (its key)."""
-    marked = written_once(fingerprints(docs, ["doc_id"], shingle_words))
-    distinct = written_once(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+def members(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document: id, key (of its text), fp, component_id (smallest id reachable) and component (its key)."""
+    marked = written_once(fingerprints(docs, shingle_words))
+    distinct = written_once(marked.groupBy("fp").agg(F.min("id").alias("first_id")))
     points = distinct.select("fp", _point(F.col("fp")).alias("point"))
     roots = components(links(cells(points, max_bits), max_bits))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("component"))
     ids = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
     label = rooted.select("fp", "component").join(ids, "component")
-    return marked.join(label, "fp").select("doc_id", "fp", "component_id", "component")
+    return marked.join(label, "fp").select("id", "key", "fp", "component_id", "component")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (smallest id reachable through links) and component (its key)."""
+    return members(docs, shingle_words, max_bits).select(F.col("id").alias("doc_id"), "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component, the one with the smallest id (of rows repeating that id, the smallest text)."""
-    first = near_duplicates(docs, shingle_words, max_bits).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", F.col("doc_id").alias("_id")).agg(
-            F.min("fp").alias("_first")).drop("component")
-    marked = fingerprints(docs, docs.columns, shingle_words, "_simhash")
-    kept = marked.join(first, (F.col("_simhash") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy("_simhash", "doc_id").orderBy(F.md5("text"), *[c for c in docs.columns if c != "text"])
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)
+    """One document of each component, the one with the smallest id (of rows repeating that id, the smallest text hash).
+
+    Texts are fingerprinted once; the rows to keep are known by id and text hash, and all texts pass one shuffle, unsorted.
+    Rows that repeat both are told apart by their other columns; only they are sorted.
+    """
+    alike = members(docs, shingle_words, max_bits).filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(
+        "component", "id", "key").agg(F.count(F.lit(1)).alias("n"))
+    first = alike.groupBy("component").agg(F.min(F.struct("key", "id", "n")).alias("one")).select(
+        F.col("one.id").alias("first_id"), F.col("one.key").alias("first_key"), F.col("one.n").alias("n"))
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.coalesce(text_key(F.col("text")), F.lit(b"")).alias("key"), whole_row(docs).alias("row"))
+    kept = rows.join(
+        first.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    order = Window.partitionBy("id", "key").orderBy(*[F.col("row")[c] for c in docs.columns if c != "text"])
+    repeated = kept.filter("n > 1").withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return unwrapped(kept.filter("n = 1").select("row").union(repeated.select("row")), "row", docs.columns)

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sharedrift.llm.common import whole_row
 from sharedrift.sources.tables import written_once
 
 BITMAP_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
@@ -184,7 +185,7 @@ def judge(pages: DataFrame, block: DataFrame, allow: DataFrame, path_lengths: li
     listed host).  ``path_lengths``: the lengths of the rules' paths.  The longest rule decides; without one, a listed host
     is blocked or, failing that, any url allowed.
     """
-    rows = with_keys(pages, path_lengths)
+    rows = with_keys(pages.select("url", whole_row(pages).alias("_row")), path_lengths)
     universe = keys_of(rows)
     rows = with_membership(rows, "_keys", block, universe, "_block")
     rows = with_membership(rows, "_keys", allow, universe, "_allow")
@@ -192,7 +193,9 @@ def judge(pages: DataFrame, block: DataFrame, allow: DataFrame, path_lengths: li
     rule = F.get(F.filter(listed, lambda k: F.contains(k["_keys"], F.lit("/"))), F.lit(0))
     host_blocked = F.exists(listed, lambda k: k["_block"] & ~F.contains(k["_keys"], F.lit("/")))
     verdict = F.when(rule["_block"], "block").when(rule["_allow"], "allow").when(host_blocked, "block").otherwise("allow")
-    return rows.withColumns({"rule": rule["_keys"], "verdict": verdict}).drop("_keys", "_block", "_allow")
+    added = {"host": F.col("host"), "path": F.col("path"), "rule": rule["_keys"], "verdict": verdict}
+    return rows.select(
+        *[F.col("_row")[c].alias(c) for c in pages.columns if c not in added], *[column.alias(c) for c, column in added.items()])
 
 
 def with_keys(pages: DataFrame, path_lengths: list[int]) -> DataFrame:

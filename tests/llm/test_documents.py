@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -261,6 +262,56 @@ def test_cleaned_texts_lose_only_boilerplate_lines(spark):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+CLASHING = ["_text", "_simhash", "_id", "_first", "_nth", "id", "key", "fp", "row", "n", "component", "first_id", "text_", "_own", "at",
+            "line", "cleaned", "_cleaned", "__text_rejected", "_doc_id_rejected", "d", "r", "_removed", "_copies"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Operators that return whole rows keep the caller's values whatever the columns are called."""
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(60))
+    rows = [(n, f"the shared line\n{own(n % 15)}", "h", *[f"{c}{n}" for c in CLASHING]) for n in range(30)] + [
+        (99, "short", "h", *CLASHING), (None, None, None, *CLASHING), (7, f"the shared line\n{own(7)}", "h", *["again"] * len(CLASHING))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for operator in (simhash.keep_one, quality.kept_documents, quality.cleaned_documents):
+        out = operator(docs)
+        assert out.columns == docs.columns
+        found = [tuple(r) for r in out.collect()]
+        assert found
+        by_rest = {tuple(r[3:]) for r in rows}
+        assert all(r[3:] in by_rest for r in found)
+    assert sorted(r.doc_id for r in quality.kept_documents(docs).collect()) == sorted([*range(30), 7])
+    kept = simhash.keep_one(docs).collect()  # of the two rows with id 7 the one first in the order of its other columns
+    assert [r["_text"] for r in kept if r.doc_id == 7] == ["_text7"] and len([r for r in kept if r.doc_id in range(15)]) == 15
+
+
+def test_one_very_long_word(spark):
+    rng = np.random.default_rng(3)
+    word = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    codec = bpe.Codec(bpe.read_ranks(RANK_FILE), public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    start = time.monotonic()
+    [ids] = codec.encode([word])
+    assert time.monotonic() - start < 30
+    assert np.frombuffer(ids, dtype="<u4").tolist() == other.encode_ordinary(word)
+    for text in ("a" * 9000, "aab" * 3000, "ab" * 5000 + "a", "日" * 2000, "é" * 999, "0" * 501, "=" * 5000 + "-" * 777):
+        assert np.frombuffer(codec.encode([text])[0], dtype="<u4").tolist() == other.encode_ordinary(text)
+    pieces = ["a", "b", "ab", "aa", "the", "e", "t", "日", "é", "x", "aaaa"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces[:rng.integers(2, len(pieces) + 1)], rng.integers(40, 120)))
+        assert np.frombuffer(codec.encode([text])[0], dtype="<u4").tolist() == other.encode_ordinary(text)
+
+
+def test_words_are_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 20_000)
+    codec = bpe.Codec(bpe.read_ranks(RANK_FILE), public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice(list("etaoinsh"), 6)) for _ in range(80))
+        assert np.frombuffer(codec.encode([text])[0], dtype="<u4").tolist() == other.encode_ordinary(text)
+    assert len(codec.known) + len(codec.older) < 600
+
+
 # Language model -----------------------------------------------------------------------------------------------------
 
 def brute_lm(rows, order=2):

@@ -49,6 +49,16 @@ def test_urls(spark, monkeypatch, filter_bytes):
     assert {r.verdict for r in urls.judge(pages, keys([]), keys([]), []).collect()} == {"allow"}
 
 
+def test_urls_keep_columns_of_any_name(spark):
+    names = ["_keys", "_block", "_allow", "_h1", "_h2", "_row", "key", "listed"]
+    pages = spark.createDataFrame([(u, *[f"{c}{n}" for c in names]) for n, u in enumerate(URLS)],
+                                  "url string, " + ", ".join(f"`{c}` string" for c in names))
+    keys = spark.createDataFrame([("net/",)], "key string")
+    got = urls.judge(pages, keys, keys.filter("false"), [1])
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert sorted(map(str, got.select(*pages.columns).collect())) == sorted(map(str, pages.collect()))
+
+
 def test_cascade_is_exact_on_its_universe(spark):
     universe = spark.range(30000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("key LIKE '%7'").union(spark.createDataFrame([("elsewhere",)], "key string"))
