@@ -34,6 +34,11 @@ def of_species(df: DataFrame, *species_keys: int) -> DataFrame:
     return df.where(F.col("specieskey").isin(*species_keys))
 
 
+def of_group(df: DataFrame, group_key: int) -> DataFrame:
+    """One group by key; pruned when the table is sorted by group."""
+    return df.where(F.col("orderkey") == group_key)
+
+
 def in_years(df: DataFrame, min_year: int, max_year: int) -> DataFrame:
     """Both ends inclusive."""
     return df.where(F.col("year").between(min_year, max_year))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sharedrift import schemas
 from sharedrift.functions import features, hexagons, mercator
 from sharedrift.operators import boxes, charts, counts, filters, fits, hexes, learning, names, tiles, trends
+from sharedrift.plans import jobs
 from sharedrift.sources import occurrence, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,7 @@ RANGE_MIN_YEARS = 2
 NAME_PATTERN = "Supplier#%0_1"  # some of the names
 HEX_SIZE = 10
 READ_SPECIES = (1, 3, 7)
+READ_GROUP = 3
 DECIMALS = {"slope": 9, "intercept": 6, "significance": 6, "sse": 9, "intercept_stderr": 4, "mse": 9,
             "slope_stderr": 7}
 
@@ -113,7 +115,7 @@ def occurrence_snapshot(spark, sf_dir):
 def snapshot_orc_round_trip(spark, sf_dir):
     """The snapshot written as ORC to the shared folder and read back with its declared schema."""
     path = tables.shared_folder(spark)
-    tables.write_orc(occurrence.occurrence_snapshot(occurrence.occurrences_from_star(spark, sf_dir)), path)
+    occurrence.write_snapshot(occurrence.occurrences_from_star(spark, sf_dir), path)
     return occurrence.read_occurrences(spark, path, "orc").withColumns({
         c: F.round(c, 6) for c in ("decimallatitude", "decimallongitude")})
 
@@ -136,6 +138,15 @@ def species_keyed_read(spark, sf_dir):
         "orderkey", "specieskey", "year", *rounded(lat=6, lng=6), "count")
 
 
+def group_keyed_read(spark, sf_dir):
+    """Group counts stored in order of group, and read back for one group as features with a year map."""
+    path = tables.shared_folder(spark)
+    tables.write_keyed(counts.group_point_year(point_counts(spark, sf_dir)), path, "orderkey", "lat_e2", "lng_e2", "year")
+    one = filters.of_group(tables.read_parquet(spark, path, schemas.GROUP_POINT_YEAR), READ_GROUP)
+    return tables.feature_text(
+        trends.group_year_maps(one, list(counts.GROUP_POINT)), ["orderkey"], _lng(), _lat(), F.col("group_counts"))
+
+
 def points_compacted(spark, sf_dir):
     """Exact points rewritten as few files and read back."""
     path = tables.shared_folder(spark)
@@ -435,6 +446,33 @@ def hex_tile_features(spark, sf_dir):
                         hexagons.ring_wkt(F.col("ring")).alias("ring"))
 
 
+# Jobs -------------------------------------------------------------------------------------------------------------
+
+def _prepared(spark, sf_dir) -> str:
+    path = tables.shared_folder(spark)
+    jobs.prepare(occurrence.occurrences_from_star(spark, sf_dir), path)
+    return path
+
+
+def job_tile_documents(spark, sf_dir):
+    """Prepared points turned into tile documents of species and groups from the pyramid's first year on."""
+    path = _prepared(spark, sf_dir)
+    jobs.tile_documents(spark, f"{path}/points", f"{path}/tiles")
+    return tables.read_tiles(spark, f"{path}/tiles", with_groups=True)
+
+
+def job_wide_records(spark, sf_dir):
+    path = _prepared(spark, sf_dir)
+    jobs.wide_records(spark, path, f"{path}/wide")
+    return tables.read_tsv(spark, f"{path}/wide", schemas.WIDE_RECORD_TEXT)
+
+
+def job_grid(spark, sf_dir):
+    path = _prepared(spark, sf_dir)
+    jobs.grid(spark, path, f"{path}/grid")
+    return tables.read_parquet(spark, f"{path}/grid", schemas.GRID)
+
+
 # Charts -----------------------------------------------------------------------------------------------------------
 
 def _charted(spark, sf_dir):
@@ -471,7 +509,7 @@ QUERIES: dict[str, Query] = {
         trend_by_name, trend_significance, ols_sums_of_squares, ols_diagnostics, cell_year_counts, cell_slopes,
         grid10_counts, grid10_slopes, mllib_mse, mercator_tiles, mercator_pixels, tile_pyramid,
         pyramid_with_group, tile_json, tile_table_round_trip, point_tile_features, hex_tile_features, chart_series,
-        trend_summary, slope_classes, species_keyed_read, points_compacted, species_point_trend_window,
-        hex_trend_window,
+        trend_summary, slope_classes, species_keyed_read, group_keyed_read, points_compacted, species_point_trend_window,
+        hex_trend_window, job_tile_documents, job_wide_records, job_grid,
     )
 }

@@ -356,6 +356,14 @@ SELECT * FROM hy""",
     "species_keyed_read": EXACT + f"""
 SELECT orderkey, specieskey, year, round(lat, 6) + 0.0 AS lat, round(lng, 6) + 0.0 AS lng, "count"
 FROM exact_points WHERE specieskey IN {C.READ_SPECIES}""",
+    "group_keyed_read": GPY + f"""
+SELECT orderkey, 'POINT(' || ({LNG}) || ' ' || ({LAT}) || ')' AS geom, {json_map("year", "n")} AS yearcounts
+FROM gpy WHERE orderkey = {C.READ_GROUP} GROUP BY orderkey, lat_e2, lng_e2""",
+    "job_wide_records": GPY + f"""
+SELECT s.specieskey, 'POINT(' || (s.lng_e2 / CAST(100 AS DOUBLE)) || ' ' || (s.lat_e2 / CAST(100 AS DOUBLE)) || ')' AS geom,
+       s.year, s.n AS speciescount, g.n AS ordercount
+FROM spy s JOIN gpy g ON s.orderkey = g.orderkey AND s.lat_e2 = g.lat_e2 AND s.lng_e2 = g.lng_e2
+ AND s.year = g.year""",
     "points_compacted": EXACT + """
 SELECT orderkey, specieskey, year, round(lat, 6) + 0.0 AS lat, round(lng, 6) + 0.0 AS lng, "count"
 FROM exact_points""",
@@ -480,4 +488,7 @@ SELECT *, CAST(CASE WHEN slope IS NULL THEN NULL WHEN slope >= 0.0008 THEN 0 WHE
 FROM s""",
 }
 
+# the jobs write what these queries compute
+SELECTS |= {"job_tile_documents": SELECTS["tile_json"], "job_grid": SELECTS["grid10_counts"]}
+
 ORACLE_SQL: dict[str, str] = {name: "WITH " + text.strip() for name, text in SELECTS.items()}

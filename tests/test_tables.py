@@ -34,6 +34,26 @@ def test_occurrences_as_orc_parquet_and_table(spark, tmp_path):
     spark.sql("DROP TABLE occurrence_snapshot_table")
 
 
+def test_a_snapshot_is_laid_out_by_group(spark, tmp_path):
+    source = occurrence.occurrences_from_star(spark, SMALL)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        occurrence.write_snapshot(source, f"{tmp_path}/snapshot", "parquet")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = occurrence.read_occurrences(spark, f"{tmp_path}/snapshot", "parquet")
+    assert same_rows(back, occurrence.occurrence_snapshot(source))
+    files = [pq.read_table(f"{tmp_path}/snapshot/{name}", columns=["orderkey"])["orderkey"].to_pylist()
+             for name in sorted(os.listdir(f"{tmp_path}/snapshot")) if name.endswith(".parquet")]
+    ranges = [(min(keys), max(keys)) for keys in files if keys]
+    groups = {key for keys in files for key in keys}
+    touched = [sum(low <= key <= high for low, high in ranges) for key in groups]
+    assert len(ranges) >= 4 and sum(touched) < len(ranges) + len(groups)  # a border file is read for two groups
+    one = filters.quality_filter(back, group_key=3)
+    assert "EqualTo(orderkey,3)" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == filters.quality_filter(source, group_key=3).count()
+
+
 def test_tsv_keeps_quotes_and_json(spark, tmp_path):
     rows = [(1, 'Odd "name" \\ here'), (2, "Plain")]
     tables.write_tsv(spark.createDataFrame(rows, schemas.NAMES), f"{tmp_path}/names")
