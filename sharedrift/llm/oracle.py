@@ -79,20 +79,15 @@ covered AS (
   SELECT doc_id, count(DISTINCT place) AS n_repeat_words
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM texts),
+  SELECT doc_id, source, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line FROM texts),
 filled AS (
   SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal FROM lines
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM filled GROUP BY doc_id),
 hashed AS (
   SELECT *, md5(normal) AS hash, length(normal) - length(replace(normal, ' ', '')) + 1 AS n FROM filled),
-firsts AS (
-  SELECT doc_id, min(hash) AS one, min(hash) FILTER (hash <> one_hash) AS two
-  FROM (SELECT *, min(hash) OVER (PARTITION BY doc_id) AS one_hash FROM hashed) GROUP BY doc_id),
-keyed AS (
-  SELECT source, hash, coalesce(CASE WHEN hash = one THEN two ELSE one END, '') AS copy_key FROM hashed JOIN firsts USING (doc_id)),
 common AS (
-  SELECT source, hash FROM keyed GROUP BY source, hash HAVING count(DISTINCT copy_key) > {quality.LINE_LIMIT}),
+  SELECT source, hash FROM hashed GROUP BY source, hash HAVING count(DISTINCT whole) > {quality.LINE_LIMIT}),
 removed AS (
   SELECT doc_id, sum(n) AS n FROM hashed SEMI JOIN common ON hashed.source IS NOT DISTINCT FROM common.source
     AND hashed.hash = common.hash GROUP BY doc_id),
@@ -131,12 +126,12 @@ votes AS (
 spans AS (
   SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span
   FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.SLACK}
-                       THEN 0 ELSE 1 END AS fresh FROM votes WHERE NOT exact)),
+                       THEN 0 ELSE 1 END AS fresh FROM votes WHERE NOT exact AND votes < n_grams)),
 merged AS (
   SELECT doc_id, label, exact, n_grams, least(sum(votes) / n_grams, 1.0) AS coverage, min(first) AS first, max(last) + {licenses.GRAM} AS past
   FROM spans GROUP BY doc_id, template, label, exact, n_grams, span),
 found AS (
-  SELECT doc_id, label, exact, diagonal AS start, 1.0::DOUBLE AS coverage FROM votes WHERE exact AND votes = n_grams
+  SELECT doc_id, label, exact, diagonal AS start, 1.0::DOUBLE AS coverage FROM votes WHERE votes = n_grams
   UNION ALL
   SELECT doc_id, label, exact, first, coverage FROM merged
   WHERE coverage >= {licenses.MIN_COVERAGE} AND past - first <= (n_grams + {licenses.GRAM - 1}) * {licenses.MAX_STRETCH})
