@@ -5,7 +5,8 @@ density sum is the sum of its children's densities.  The node with the largest s
 least density on its path to the body is the threshold.  From the body down, each branch whose density reaches the
 threshold gives the subtree with the largest sum inside it, and what stands beside that subtree is searched in the same way.  A chosen
 subtree inside an ``article`` or ``main`` element stands for that element as a whole; one without takes the headings
-right before it along.
+right before it along, and stands for the outermost container below the body whose text is mostly chosen and otherwise not
+mostly links.
 
 What is never article text takes no part: scripts, styles, forms, menus, page headers and footers, sidebars, and elements whose
 class, id or role says so (adverts, notices, reader comments and the like).  Such a name must be a whole class, id or role, of
@@ -61,6 +62,9 @@ UNBROKEN = INLINE | RAW | MATH | (VOID - {"hr"}) | frozenset("button select temp
 KEEPS_PARAGRAPH = INLINE | VOID | RAW | MATH | frozenset(["body", "html", "head", "button", "object", "svg"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # --- end of fixed values --------------------------------------------------------------------------------------------
+CONTAINER_SHARE = 0.5  # of a container's characters are chosen, if it stands for them
+CONTAINER_LINKS = 0.3  # of its other characters are links at most
+
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|"
     # possessive, so every character is read once; a tag that never ends takes the rest of the page
@@ -238,7 +242,33 @@ class Page:
                         node = up
                 else:
                     todo += children[n]
-        return chosen
+        return self._grown(chosen, chars, link_chars)
+
+    def _grown(self, chosen: set[int], chars: list[int], link_chars: list[int]) -> set[int]:
+        """Chosen nodes, or the outermost container below the body of which the choice is most and the rest is not mostly links.
+
+        So short paragraphs, and those an unclosed tag put elsewhere, stay with the article they stand in.
+        """
+        size = len(self.tag)
+        got, got_links, covered = [0] * size, [0] * size, [False] * size
+        for n in range(1, size):
+            covered[n] = self.parent[n] in chosen or covered[self.parent[n]]
+        top = [n for n in chosen if not covered[n]]
+        for n in top:
+            got[n], got_links[n] = chars[n], link_chars[n]
+        for n in range(size - 1, 0, -1):
+            got[self.parent[n]] += got[n]
+            got_links[self.parent[n]] += got_links[n]
+        grown = set()
+        for n in top:
+            best, up = n, self.parent[n]
+            while up and self.tag[up] not in ("body", "html"):
+                rest, links = chars[up] - got[up], link_chars[up] - got_links[up]
+                if got[up] >= CONTAINER_SHARE * chars[up] and links <= CONTAINER_LINKS * rest:
+                    best = up
+                up = self.parent[up]
+            grown.add(best)
+        return grown
 
     def _whole(self, node: int) -> int:
         """The outermost article or main element around a node, or the node itself."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -210,3 +211,24 @@ def test_names_and_formulas():
         assert html.main_text(f"<article><p>{text}</p><div {name}>noise</div></article>") == text.strip()
     formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
     assert html.main_text(f"<article><p>{text}with {formula} here</p></article>") == text + "with x=2 here"
+
+
+def test_articles_are_found_without_their_tag():
+    """Pages whose article elements are renamed to div give the same text, and lose no line of it."""
+    import re
+
+    import duckdb
+
+    pages = [h for [h] in duckdb.sql("SELECT html FROM '/root/testdata/sf0.1/pages.parquet' ORDER BY page_id").fetchall()]
+    pairs = [(html.main_text(h), html.main_text(re.sub(r"(?i)(</?)article\b", r"\1div", h))) for h in pages]
+    assert sum(a == b for a, b in pairs) >= 0.99 * len(pages)
+    assert not [a for a, b in pairs if Counter(a.split("\n")) - Counter(b.split("\n"))]
+
+
+def test_a_container_stands_for_its_article_but_not_with_a_menu_in_it():
+    prose = "Some words of a long enough paragraph, with a comma and an end. " * 5
+    page = f"<body><div id=x><p>{prose}</p><p>Short.</p><div><p>{prose}<b>open</div><p>{prose}</p></div></body>"
+    assert html.main_text(page).count("Short.") == 1 and html.main_text(page).count("Some words") == 15
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Somewhere else {k}</a>" for k in range(9)) + "</ul>"
+    page = f"<body><div>{links}<div><p>{prose}</p><p>{prose}</p><p>{prose}</p></div></div></body>"
+    assert "Somewhere" not in html.main_text(page) and html.main_text(page).count("Some words") == 15
