@@ -155,27 +155,29 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at, files = _file_system(spark, path)
+def _delete(spark: SparkSession, folder: str) -> None:
+    at, files = _file_system(spark, folder)
     files.delete(at, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder on storage that the driver and all executors share: below the folder ``spark.checkpoint.dir``
-    names, else below the session's warehouse.  It belongs to the innermost ``Scratch``, else to the application.
+    """A path for one table in a fresh folder on storage that the driver and all executors share: below the folder
+    ``spark.checkpoint.dir`` names, else below the session's warehouse.  The folder belongs to the innermost ``Scratch``,
+    else to the application.
 
     A folder of the local disk is refused on a cluster: each executor would write to its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/sharedrift-{uuid.uuid4().hex}"
-    at, files = _file_system(spark, path)
+    folder = f"{base.rstrip('/')}/sharedrift-{uuid.uuid4().hex}"
+    at, files = _file_system(spark, folder)
     if files.getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{base} is local to each machine; spark.checkpoint.dir must name a folder that all share")
+    files.mkdirs(at)
     if _scopes:
-        _scopes[-1].folders.append(path)
+        _scopes[-1].folders.append(folder)
     else:
-        files.deleteOnExit(at)
-    return path
+        files.deleteOnExit(at)  # only of what exists
+    return f"{folder}/table"
 
 
 def written_once(df: DataFrame) -> DataFrame:
@@ -191,4 +193,4 @@ def written_once(df: DataFrame) -> DataFrame:
 def discard(*written: DataFrame) -> None:
     """Delete tables of ``written_once`` that nothing reads any more: whatever was made of them is itself written."""
     for df in written:
-        _delete(df.sparkSession, df._scratch_path)
+        _delete(df.sparkSession, df._scratch_path.removesuffix("/table"))
