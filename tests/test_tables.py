@@ -221,6 +221,34 @@ def test_a_local_folder_is_refused_on_a_cluster(spark, monkeypatch):
         tables.shared_folder(cluster)
 
 
+def test_a_mounted_folder_is_accepted_on_a_cluster(spark, monkeypatch, tmp_path):
+    """Its path looks like one of the local disk; what the executors write there tells."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    before = _scratch(spark)
+    table = tables.written_once(spark.range(5))
+    assert table.count() == 5 and len(_scratch(spark) - before) == 1  # nothing stays of the trial
+    catalogue.points_compacted(spark, SMALL).write.parquet(f"{tmp_path}/points")
+    assert same_rows(spark.read.parquet(f"{tmp_path}/points"), catalogue.species_point_year_exact(spark, SMALL))
+    tables.discard(table)
+
+
+def test_a_folder_that_loses_rows_is_refused_on_a_cluster(spark, monkeypatch):
+    """An executor that writes to its own disk: its files are not among those read."""
+    class Some:
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+        def range(self, *parts):
+            return spark.range(*parts).where("id <> 3")
+
+    monkeypatch.setattr(tables, "_tried", set())
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    before = _scratch(spark)
+    with pytest.raises(ValueError, match="local to each machine"):
+        tables.shared_folder(Some())
+    assert _scratch(spark) == before
+
+
 def test_names_of_points(spark):
     rows = [(1, 10, 10, "a"), (1, 10, 10, "a"), (1, 10, 11, "b"), (1, 10, 11, "b"), (1, 20, 20, "c"), (1, 30, None, "d"), (1, 30, None, "d")]
     clean = spark.createDataFrame(
