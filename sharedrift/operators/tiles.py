@@ -1,6 +1,7 @@
 """Web-Mercator tiles: cell counts, the zoom pyramid, nested tile documents and point features."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +50,12 @@ def tile_pyramid(
     finest = max_zoom + lookahead
     fx, fy = mercator.address(F.col("lat"), F.col("lng"), finest)
     base = points.groupBy("orderkey", "specieskey", fx.alias("_cx"), fy.alias("_cy"), "year").agg(
-        F.count("*").alias("n_points"), F.sum("count").alias("n_obs")).withColumn("z", F.lit(max_zoom))
+        F.count("*").alias("n_points"), F.sum("count").alias("n_obs"))
     middle = min(S.PYRAMID_MIDDLE_ZOOM, max_zoom)
-    lower = _coarser_levels(base, middle, max_zoom, lookahead)
-    upper = _coarser_levels(lower.where(F.col("z") == middle), 0, middle, lookahead).where(F.col("z") < middle)
-    cells = lower.unionByName(upper) if middle else lower
+    levels = _levels(base, middle, max_zoom, lookahead)
+    if middle:
+        levels |= _levels(levels[middle], 0, middle, lookahead) | {middle: levels[middle]}
+    cells = reduce(DataFrame.unionByName, (level.withColumn("z", F.lit(z)) for z, level in levels.items()))
     return cells.select(
         "orderkey", "specieskey", "z",
         mercator.coarser(F.col("_cx"), lookahead).alias("x"),
@@ -63,23 +65,22 @@ def tile_pyramid(
     )
 
 
-def _coarser_levels(cells: DataFrame, first: int, last: int, lookahead: int) -> DataFrame:
-    """Cells of zoom ``last`` summed for all zooms from ``first`` on.
+def _levels(cells: DataFrame, first: int, last: int, lookahead: int) -> dict[int, DataFrame]:
+    """Cells of zoom ``last`` summed for each zoom from ``first`` on, which all read one shuffle of them.
 
-    The cells of one species, year and tile of zoom ``first`` come together in one shuffle, and every level is a hash
-    aggregate on them where they are; a group has at most 4^(last - first + lookahead) rows.
+    The cells of one species, year and tile of zoom ``first`` come together; a group has at most
+    4^(last - first + lookahead) rows.  A task sums one zoom, so its hash tables have no more rows than it reads, however
+    many zooms there are.
     """
     deep = last - first + lookahead
     tile = {"_tx": mercator.coarser(F.col("_cx"), deep), "_ty": mercator.coarser(F.col("_cy"), deep)}
     keys = ["orderkey", "specieskey", "year", "_tx", "_ty"]
-    up = F.lit(last) - F.col("z")
-    return (
-        cells.drop("z").withColumns(tile).repartition(*keys)
-        .withColumn("z", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        .groupBy(*keys, "z", mercator.coarser(F.col("_cx"), up).alias("_cx"), mercator.coarser(F.col("_cy"), up).alias("_cy"))
-        .agg(F.sum("n_points").alias("n_points"), F.sum("n_obs").alias("n_obs"))
-        .drop("_tx", "_ty")
-    )
+    dealt = cells.withColumns(tile).repartition(*keys)
+    levels = {last: dealt}
+    for z in range(first, last):
+        cell = [mercator.coarser(F.col(c), last - z).alias(c) for c in ("_cx", "_cy")]
+        levels[z] = dealt.groupBy(*keys, *cell).agg(F.sum("n_points").alias("n_points"), F.sum("n_obs").alias("n_obs"))
+    return {z: level.drop("_tx", "_ty") for z, level in levels.items()}
 
 
 def with_group_rows(pyramid: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sharedrift import settings as S
-from sharedrift.operators import boxes, joins, trends
+from sharedrift.operators import boxes, joins, tiles, trends
 from sharedrift.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -147,6 +147,18 @@ def test_the_pyramid_shuffles_cells_once_for_its_lower_and_once_for_its_upper_zo
     assert "sequence(0, 8" not in plan  # no copies for all nine zooms at once
 
 
+def test_a_task_of_the_pyramid_sums_one_zoom(spark):
+    """No cell is copied for several zooms within a task; all zooms read the same two shuffles."""
+    plan = final_plan(catalogue.tile_pyramid(spark, SMALL))
+    assert "Generate" not in plan and "Union" in plan
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_orderkey", plan)) == 1
+    for max_zoom in (0, 3, 4, 6):  # below, at and above the middle zoom
+        points = catalogue.exact_points(spark, SMALL, with_name=True)
+        found = tiles.tile_pyramid(points, max_zoom).groupBy("z").agg(F.sum("n_obs"), F.sum("n_points")).collect()
+        total = points.agg(F.sum("count"), F.count("*")).first()
+        assert sorted(tuple(r) for r in found) == [(z, *total) for z in range(max_zoom + 1)]
+
+
 def test_only_the_groups_of_matching_names_are_counted(spark):
     plan = catalogue.trend_by_name(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftSemi") >= 2
