@@ -232,6 +232,19 @@ def test_a_mounted_folder_is_accepted_on_a_cluster(spark, monkeypatch, tmp_path)
     tables.discard(table)
 
 
+@pytest.mark.parametrize("name", (
+    "group_keyed_read",
+))
+def test_a_query_that_writes_scratch_ends_on_a_cluster(spark, monkeypatch, tmp_path, name):
+    """The first of its application, so the trial is its own; its rows are those of a local master."""
+    catalogue.QUERIES[name](spark, SMALL).write.parquet(f"{tmp_path}/local")
+    monkeypatch.setattr(tables, "_tried", set())
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    catalogue.QUERIES[name](spark, SMALL).write.parquet(f"{tmp_path}/cluster")
+    local, cluster = (spark.read.parquet(f"{tmp_path}/{at}") for at in ("local", "cluster"))
+    assert not local.isEmpty() and same_rows(local, cluster)
+
+
 def test_a_folder_that_loses_rows_is_refused_on_a_cluster(spark, monkeypatch):
     """An executor that writes to its own disk: its files are not among those read."""
     class Some:
