@@ -235,6 +235,7 @@ def test_a_mounted_folder_is_accepted_on_a_cluster(spark, monkeypatch, tmp_path)
 @pytest.mark.parametrize("name", (
     "group_keyed_read",
     "job_grid",
+    "job_tile_documents",
 ))
 def test_a_query_that_writes_scratch_ends_on_a_cluster(spark, monkeypatch, tmp_path, name):
     """The first of its application, so the trial is its own; its rows are those of a local master."""
