@@ -240,6 +240,7 @@ def test_a_mounted_folder_is_accepted_on_a_cluster(spark, monkeypatch, tmp_path)
     "mllib_mse",
     "points_compacted",
     "snapshot_orc_round_trip",
+    "species_keyed_read",
 ))
 def test_a_query_that_writes_scratch_ends_on_a_cluster(spark, monkeypatch, tmp_path, name):
     """The first of its application, so the trial is its own; its rows are those of a local master."""
