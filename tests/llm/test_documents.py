@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pathlib
 import re
 import time
 import zlib
@@ -403,6 +404,21 @@ def test_longer_contexts_back_off_step_by_step(spark, monkeypatch, parts):
     assert got == pytest.approx(want)
 
 
+def test_lm_scores_write_few_bytes_for_a_pair(spark, monkeypatch):
+    """All word pairs of the documents are scored, but they don't stand in tables one by one."""
+    monkeypatch.setattr(lm, "MODEL_PARTS", 200)
+    written, write_once = [], lm.written_once
+    monkeypatch.setattr(lm, "written_once", lambda df: written.append(write_once(df)) or written[-1])
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(map("w{}".format, rng.integers(0, 4000, 400)))) for i in range(300)]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx({i: total for i, *_, total in brute_lm(rows)})
+    pairs = sum(len(set(zip(w, w[1:]))) for w in (["\n", *text.split(), "\n"] for _, text in rows))
+    files = [f for df in written for f in pathlib.Path(df._scratch_path.removeprefix("file:")).rglob("*.parquet")]
+    assert len(files) > 0
+    assert sum(f.stat().st_size for f in files) < 8 * pairs
+
+
 def test_context_helps_on_held_out_documents(spark, sf_dir):
     got = lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("held_out").agg(
         F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
